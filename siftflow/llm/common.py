@@ -64,3 +64,19 @@ def word_array(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A group is heavy if it holds more than one in HEAVY rows; there can't be more than HEAVY such groups, so they may be broadcast.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with the one row of groups that has their key, where groups holds every key and its number of rows as `size`.
+
+    The heavy groups are broadcast (at most HEAVY rows), so their rows stay where they are; the others are shuffled by key.
+    """
+    total = rows.count()
+    heavy = F.broadcast(groups.where(F.col(size) * HEAVY > total))
+    hot = rows.join(heavy, key)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(groups.where(F.col(size) * HEAVY <= total), key)
+    return hot.unionByName(rest.select(hot.columns))
