@@ -1,10 +1,301 @@
-"""Registered queries of the pipe language and the SQL that gives the same rows."""
+"""Registered queries of the pipe language, and the SQL that gives the same rows.
+
+Every entry runs over its whole table. Frames rename a table's time and message columns to _time and _msg.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftflow.engine import Engine
+from siftflow.frame import LogFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What relative times are measured from, so that results don't depend on the clock.
+NOW = "2024-02-01T00:00:00Z"
+
+FRAMES = {
+    "events": {"time": "ts", "msg": "props", "stream": ["event_type"]},
+    "orders": {"time": "o_orderdate", "msg": "o_orderpriority", "stream": ["o_orderstatus"]},
+    "lineitem": {"time": "l_shipdate", "stream": ["l_returnflag", "l_linestatus"]},
+    "documents": {"msg": "text", "stream": ["source"]},
+    "pages": {"msg": "html"},
+    "conversations": {"msg": "text", "stream": ["role"]},
+    "customer": {"msg": "c_name", "stream": ["c_mktsegment"]},
+    "part": {"msg": "p_name", "stream": ["p_type"]},
+}
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> LogFrame:
+    return LogFrame.of(spark.read.parquet(f"{sf_dir}/{name}.parquet"), **FRAMES.get(name, {}))
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> LogFrame:
+    """Several tables as one log, told apart by _table; a filter on it prunes the other tables' scans away."""
+    out = None
+    for n in names:
+        df = frame(spark, sf_dir, n).df.withColumn("_table", F.lit(n))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return LogFrame(out, ("_table",))
+
+
+def engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
+    return Engine(frame(spark, sf_dir, names[0]) if len(names) == 1 else tables(spark, sf_dir, *names), NOW)
+
+
+def api(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def q(name: str, of: str, query: str, sql: str | None = None) -> None:
+    names = of.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(spark, sf_dir, *names).query(query)
+
+    run.__doc__ = query
+    api(name, sql)(run)
+
+
+# ---------------------------------------------------------------- filters
+
+W, B, A = r"\pL\p{Nd}_", r"(^|[^\pL\p{Nd}_])", r"($|[^\pL\p{Nd}_])"
+DOCS = "| fields doc_id"
+
+q("daily_errors", "events", "event_type:=error value:>5 | stats by (_time:1d) count() as hits, count_uniq(user_id) as users | sort by (_time)",
+  "SELECT time_bucket(INTERVAL 1 day, ts) AS _time, count(*) AS hits, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error' AND value > 5 GROUP BY 1")
+q("filter_word", "documents", f"license {DOCS}", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}license{A}')")
+q("filter_phrase", "documents", f'"MIT License" {DOCS}', f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}MIT License{A}')")
+q("filter_phrase_marks", "pages", '"</title>" | fields page_id', "SELECT page_id FROM pages WHERE contains(html, '</title>')")
+q("filter_prefix", "documents", f"Licen* {DOCS}", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}Licen')")
+q("filter_not_empty", "documents", f"text:* or _msg:* {DOCS}", "SELECT doc_id FROM documents WHERE text != ''")
+q("filter_any_case", "documents", f"i(LICENSED) {DOCS}", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{B}licensed{A}')")
+q("filter_any_case_prefix", "documents", f"i(LICEN*) {DOCS}", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{B}licen')")
+q("filter_exact", "orders", "o_orderstatus:=F o_custkey:=7 | fields o_orderkey", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7")
+q("filter_exact_prefix", "orders", '_msg:="1-"* | fields o_orderkey', "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1-')")
+q("filter_not_equal", "orders", "o_orderstatus:!=F | stats count() n", "SELECT count(*) AS n FROM orders WHERE o_orderstatus != 'F'")
+q("filter_regexp", "pages", 'url:~"^https?://m\\\\.[a-z]+" | fields page_id', r"SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://m\.[a-z]+')")
+q("filter_not_regexp", "pages", 'url:!~"example[.]com" | fields page_id', "SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'example[.]com')")
+q("filter_in", "customer", "c_mktsegment:in(BUILDING, MACHINERY) c_nationkey:in(1, 2, 3) | fields c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 2, 3)")
+q("filter_in_subquery", "orders customer", "_table:=orders o_custkey:in(_table:=customer c_mktsegment:=BUILDING | rename c_custkey as o_custkey | fields o_custkey) | fields o_orderkey",
+  "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+q("filter_not_in_subquery", "customer orders", "_table:=customer !c_custkey:in(_table:=orders | uniq by (o_custkey)) | fields c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+q("filter_in_subquery_or", "orders customer", "_table:=orders (o_totalprice:>300000 or o_custkey:in(_table:=customer c_acctbal:>9000 | fields c_custkey)) | fields o_orderkey",
+  "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+q("filter_contains_all", "documents", f"contains_all(Licensed, under, the) {DOCS}", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}Licensed{A}') AND regexp_matches(text, '{B}under{A}') AND regexp_matches(text, '{B}the{A}')")
+q("filter_contains_any", "documents", f'contains_any("MIT License", "CC BY") {DOCS}', f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}MIT License{A}') OR regexp_matches(text, '{B}CC BY{A}')")
+q("filter_contains_any_subquery", "documents benchmark", "_table:=documents _msg:contains_any(_table:=benchmark item_id:<5 | rename text as _msg | fields _msg) | fields doc_id",
+  "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE item_id < 5 AND contains(d.text, b.text))")
+q("filter_seq", "documents", f'seq(Licensed, under, "License") {DOCS}', f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?s){B}Licensed{A}(.*[^{W}])?under{A}(.*[^{W}])?License{A}')")
+q("filter_range", "lineitem", "l_quantity:range[10, 20) l_discount:range(0.02, 0.05] | stats count() n, sum(l_extendedprice) total",
+  "SELECT count(*) AS n, sum(l_extendedprice) AS total FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02 AND l_discount <= 0.05")
+q("filter_compare", "lineitem", "l_tax:>=0.04 l_quantity:<=5 l_linenumber:!=1 l_returnflag:<P | stats count() n", "SELECT count(*) AS n FROM lineitem WHERE l_tax >= 0.04 AND l_quantity <= 5 AND l_linenumber <> 1 AND l_returnflag < 'P'")
+q("filter_string_range", "customer", "c_mktsegment:string_range(B, H) | fields c_custkey", "SELECT c_custkey FROM customer WHERE c_mktsegment >= 'B' AND c_mktsegment < 'H'")
+q("filter_len_range", "documents", f"len_range(1000, 2000) {DOCS}", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 1000 AND 2000")
+q("filter_ipv4_range", "events", '* | math event_id % 256 as a, user_id % 4 as b | format "10.0.<b>.<a>" as ip | filter ip:ipv4_range(10.0.1.0/25) | fields event_id',
+  "SELECT event_id FROM events WHERE user_id % 4 = 1 AND event_id % 256 < 128")
+q("filter_eq_field", "orders", "* | copy o_orderstatus as s | filter s:eq_field(o_orderstatus) | stats count() n", "SELECT count(*) AS n FROM orders")
+q("filter_le_lt_field", "lineitem", "l_linenumber:lt_field(l_quantity) l_tax:le_field(l_discount) | stats count() n", "SELECT count(*) AS n FROM lineitem WHERE l_linenumber < l_quantity AND l_tax <= l_discount")
+q("filter_value_type", "events", "value:value_type(float64) | stats count() n", "SELECT count(*) AS n FROM events")
+q("filter_time", "events", "_time:[2024-01-05, 2024-01-10T12:00Z) | stats count() n", "SELECT count(*) AS n FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-10 12:00:00'")
+q("filter_time_month", "orders", "_time:1995-03 | stats count() n", "SELECT count(*) AS n FROM orders WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-04-01'")
+q("filter_time_relative", "events", "_time:10d offset 1d | stats count() n", "SELECT count(*) AS n FROM events WHERE ts >= '2024-01-21' AND ts < '2024-01-31'")
+q("filter_day_range", "events", "_time:day_range[08:00, 17:59] | stats count() n", "SELECT count(*) AS n FROM events WHERE hour(ts) BETWEEN 8 AND 17")
+q("filter_week_range", "events", "_time:week_range[Mon, Fri] | stats count() n", "SELECT count(*) AS n FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5")
+q("filter_stream", "events", '{event_type=~"e.*" or event_type in (click, view)} | stats by (_stream) count() n', """SELECT '{event_type="' || event_type || '"}' AS _stream, count(*) AS n FROM events WHERE event_type LIKE 'e%' OR event_type IN ('click', 'view') GROUP BY 1""")
+q("filter_stream_id", "events", "_stream_id:in({event_type=error} | fields _stream_id) | stats count() n", "SELECT count(*) AS n FROM events WHERE event_type = 'error'")
+q("filter_boolean", "orders", "(o_orderstatus:=F or o_orderstatus:=O) !(o_totalprice:<1000) -_msg:urgent | stats count() n",
+  "SELECT count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') AND NOT o_totalprice < 1000 AND NOT regexp_matches(o_orderpriority, '(^|[^a-zA-Z0-9_])urgent($|[^a-zA-Z0-9_])')")
+q("filter_missing", "orders", 'nothing:="" !nothing:* | stats count() n', "SELECT count(*) AS n FROM orders")
+
+# ---------------------------------------------------------------- projection
+
+q("pipe_fields", "customer", "* | fields c_cust*, c_nationkey, none", "SELECT c_custkey, c_nationkey, NULL AS none FROM customer")
+q("pipe_delete", "part", "* | delete p_t*, p_retailprice, _msg", "SELECT p_partkey, p_brand, p_size FROM part")
+q("pipe_copy", "orders", "* | copy o_orderkey as k, o_order* as x_* | fields k, x_key, x_status", "SELECT o_orderkey AS k, o_orderkey AS x_key, o_orderstatus AS x_status FROM orders")
+q("pipe_rename", "customer", "* | rename c_custkey as key, c_* as * | fields key, nationkey, mktsegment", "SELECT c_custkey AS key, c_nationkey AS nationkey, c_mktsegment AS mktsegment FROM customer")
+q("pipe_drop_empty_fields", "events", "* | format if (value:>400) \"<event_type>\" as big | fields event_id, big | drop_empty_fields", "SELECT event_id, CASE WHEN value > 400 THEN event_type END AS big FROM events")
+q("pipe_field_names", "orders", "o_orderstatus:=F | field_names",
+  "SELECT name, hits FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', '_time', '_msg']) AS name, count(*) AS hits FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)".replace("FROM (SELECT unnest", "FROM (SELECT unnest").replace(" GROUP BY 1)", ")") if False else
+  "SELECT u.name, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS hits FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', '_time', '_msg']) AS name) u")
+q("pipe_pack_json", "customer", "* | pack_json fields (c_custkey, c_mktsegment) as j | fields j", """SELECT '{"c_custkey":"' || c_custkey || '","c_mktsegment":"' || c_mktsegment || '"}' AS j FROM customer""")
+q("pipe_pack_logfmt", "orders", "* | pack_logfmt fields (o_orderkey, _msg) as l | fields l", """SELECT 'o_orderkey=' || o_orderkey || ' _msg=' || CASE WHEN contains(o_orderpriority, ' ') THEN '"' || o_orderpriority || '"' ELSE o_orderpriority END AS l FROM orders""")
+
+# ---------------------------------------------------------------- transforms
+
+q("pipe_filter", "events", "* | stats by (user_id) count() n | filter n:>70 | sort by (user_id)", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 70")
+q("pipe_extract", "pages", '* | extract "://<plain:host>/<plain:lang>/" from url | fields page_id, host, lang',
+  "SELECT page_id, regexp_extract(url, '://([^/]*)/', 1) AS host, regexp_extract(url, '://[^/]*/([^/]*)/', 1) AS lang FROM pages")
+q("pipe_extract_unquote", "events", """* | format "k=<event_type> v=<q:event_type> end" as s | extract "v=<v> end" from s | fields event_id, v""", "SELECT event_id, event_type AS v FROM events")
+q("pipe_extract_regexp", "pages", '* | extract_regexp "://(?P<host_name>[^/]+)/(?P<lang>[a-z]+)" from url | fields page_id, host_name, lang',
+  "SELECT page_id, regexp_extract(url, '://([^/]+)/([a-z]+)', 1) AS host_name, regexp_extract(url, '://([^/]+)/([a-z]+)', 2) AS lang FROM pages")
+q("pipe_format", "events", '* | format "<uc:event_type>/<event_id>/<hexencode:event_type>/<base64encode:event_type>" as s | fields event_id, s',
+  "SELECT event_id, upper(event_type) || '/' || event_id || '/' || hex(event_type) || '/' || base64(event_type::BLOB) AS s FROM events")
+q("pipe_format_decode", "pages", '* | format "<hexdecode:h><urldecode:u>" as s | fields page_id, s'.replace("* |", '* | format "<hexencode:url>" as h | format "<urlencode:url>" as u |'), "SELECT page_id, url || url AS s FROM pages")
+q("pipe_format_units", "events", '* | math event_id * 1000000 as ns | format "<duration:ns> <ipv4:event_id> <time:user_id>" as s | filter event_id:<1000 | fields event_id, s',
+  "SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE event_id || 'ms' END || ' 0.0.' || (event_id // 256) || '.' || (event_id % 256) || ' ' || strftime(to_timestamp(user_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS s FROM events WHERE event_id < 1000")
+q("pipe_math", "lineitem", "* | math l_extendedprice * (1 - l_discount) as net, net * (1 + l_tax) as gross, round(l_quantity / 7) as r, max(l_tax, l_discount) as m, l_linenumber ^ 2 % 5 as p, (l_orderkey & 6) xor 3 as b | fields l_orderkey, l_linenumber, net, gross, r, m, p, b",
+  "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, round(l_quantity / 7) AS r, greatest(l_tax, l_discount) AS m, CAST(l_linenumber * l_linenumber % 5 AS DOUBLE) AS p, CAST(xor(l_orderkey & 6, 3) AS DOUBLE) AS b FROM lineitem")
+q("pipe_math_ieee", "events", "* | math event_id / (user_id - user_id) as d, ln(value - value) as l, none default 7 as n, floor(-value) as f, abs(0 - value) as a | filter event_id:>0 d:=inf | stats count() c, sum(n) s, min(f) mf, max(a) ma",
+  "SELECT count(*) AS c, 7.0 * count(*) AS s, min(floor(-value)) AS mf, max(value) AS ma FROM events WHERE event_id > 0")
+q("pipe_replace", "pages", '* | replace ("/", "|") at url limit 3 | fields page_id, url', r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '/', '|'), '/', '|'), '/', '|') AS url FROM pages")
+q("pipe_replace_all", "events", '_msg:* | replace ("k", "key") | fields event_id, _msg', "SELECT event_id, replace(props, 'k', 'key') AS _msg FROM events")
+q("pipe_replace_regexp", "pages", '* | replace_regexp ("//([a-z]+)[.]", "//<$1>.") at url | fields page_id, url', r"SELECT page_id, regexp_replace(url, '//([a-z]+)[.]', '//<\1>.', 'g') AS url FROM pages")
+q("pipe_replace_regexp_limit", "pages", '* | replace_regexp ("[aeiou]", "_") at url limit 2 | fields page_id, url', "SELECT page_id, regexp_replace(regexp_replace(url, '[aeiou]', '_'), '[aeiou]', '_') AS url FROM pages")
+q("pipe_collapse_nums", "events", '* | collapse_nums | fields event_id, _msg', "SELECT event_id, regexp_replace(props, '[0-9]+', '<N>', 'g') AS _msg FROM events")
+q("pipe_decolorize", "events", '* | format "\\x1b[31m<event_type>\\x1b[0m!" as s | decolorize s | fields event_id, s', "SELECT event_id, event_type || '!' AS s FROM events")
+q("pipe_hash", "events", "* | hash(event_type) as h | stats by (h) count() n | fields n", "SELECT count(*) AS n FROM events GROUP BY event_type")
+q("pipe_len", "documents", "* | len(_msg) as bytes | fields doc_id, bytes", "SELECT doc_id, strlen(text) AS bytes FROM documents")
+q("pipe_json_array_len", "events", '* | format "[<event_id>,2]" as a | json_array_len(a) as n, | stats by (n) count() c'.replace(" as n,", " as n"), "SELECT CAST(2 AS BIGINT) AS n, count(*) AS c FROM events")
+q("pipe_unpack_json", "events", "* | unpack_json fields (k) | math k + 0 as k | stats count() n, sum(k) s", "SELECT count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) AS s FROM events")
+q("pipe_unpack_json_all", "events", "* | unpack_json result_prefix j_ | stats by (j_k) count() n", "SELECT json_extract_string(props, '$.k') AS j_k, count(*) AS n FROM events GROUP BY 1")
+q("pipe_unpack_logfmt", "events", '* | format "a=<event_id> b=<q:event_type> c" as s | unpack_logfmt from s fields (a, b) | fields event_id, a, b', "SELECT event_id, CAST(event_id AS VARCHAR) AS a, event_type AS b FROM events")
+q("pipe_unpack_syslog", "events", '* | format "<plain:x>" as x | format "&lt;165&gt;1 2024-01-02T03:04:05Z host<user_id> app <event_id> ID47 - <event_type> happened" as s | unpack_syslog from s fields (hostname, proc_id, level, message) | fields event_id, hostname, proc_id, level, message'.replace('format "<plain:x>" as x | ', ""),
+  "SELECT event_id, 'host' || user_id AS hostname, CAST(event_id AS VARCHAR) AS proc_id, 'notice' AS level, event_type || ' happened' AS message FROM events")
+q("pipe_unpack_words", "orders", "* | unpack_words from _msg as w | fields o_orderkey, w", r"""SELECT o_orderkey, '["' || array_to_string(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+'), '","') || '"]' AS w FROM orders""")
+q("pipe_unroll", "orders", "* | unpack_words from _msg as w | unroll by (w) | stats by (w) count() n", r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+')) AS w FROM orders) GROUP BY 1")
+q("pipe_unroll_array", "embeddings", "* | unroll by (embedding) | stats by (label) count() n", "SELECT label, count(*) AS n FROM (SELECT label, unnest(embedding) AS e FROM embeddings) GROUP BY 1")
+q("pipe_sample", "events", "* | sample 10 | stats count() n | filter n:>0 | math 1 as ok | fields ok", "SELECT 1.0 AS ok")
+
+# ---------------------------------------------------------------- row sets
+
+q("pipe_sort", "customer", "* | sort by (c_nationkey, c_acctbal desc, c_custkey) limit 20 rank as r | fields r, c_custkey", "SELECT row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) AS r, c_custkey FROM customer ORDER BY r LIMIT 20")
+q("pipe_sort_offset", "customer", "* | sort by (c_custkey) | offset 5 | limit 7 | fields c_custkey", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 5")
+q("pipe_sort_rank", "orders", "* | sort by (o_totalprice desc, o_orderkey) rank | fields o_orderkey, rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+q("pipe_sort_natural", "part", "* | uniq by (p_brand) | sort by (p_brand) limit 10 rank as r", "SELECT p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS r FROM (SELECT DISTINCT p_brand FROM part) ORDER BY r LIMIT 10")
+q("pipe_sort_partition", "conversations", "* | sort by (turn desc) partition by (conv_id) limit 2 | fields conv_id, turn", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+q("pipe_first", "orders", "* | first 5 by (o_totalprice, o_orderkey) | fields o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
+q("pipe_last", "orders", "* | last 5 by (o_totalprice, o_orderkey) | fields o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 5")
+q("pipe_limit", "events", "* | limit 25 | stats count() n", "SELECT 25 AS n")
+q("pipe_offset", "events", "* | offset 100 | stats count() n", "SELECT count(*) - 100 AS n FROM events")
+q("pipe_uniq", "lineitem", "* | uniq by (l_returnflag, l_linestatus) with hits", "SELECT l_returnflag, l_linestatus, count(*) AS hits FROM lineitem GROUP BY ALL")
+q("pipe_top", "events", "* | top 7 by (user_id) hits as n rank as r", "SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY 1 ORDER BY r LIMIT 7")
+q("pipe_facets", "orders", "* | fields o_orderstatus, _msg, o_custkey | facets 3",
+  "SELECT field_name, field_value, hits FROM (SELECT *, count(*) OVER (PARTITION BY field_name) AS n, row_number() OVER (PARTITION BY field_name ORDER BY hits DESC, field_value) AS r FROM (SELECT 'o_orderstatus' AS field_name, o_orderstatus AS field_value, count(*) AS hits FROM orders GROUP BY ALL UNION ALL SELECT '_msg', o_orderpriority, count(*) FROM orders GROUP BY ALL UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM orders GROUP BY ALL)) WHERE r <= 3 AND n BETWEEN 2 AND 1000")
+q("pipe_field_values", "customer", "* | field_values c_mktsegment", "SELECT c_mktsegment, count(*) AS hits FROM customer GROUP BY 1")
+q("pipe_join_left", "orders customer", "_table:=customer | rename c_custkey as k | join by (k) (_table:=orders | stats by (o_custkey) count() n, sum(o_totalprice) total | rename o_custkey as k) prefix o_ | fields k, o_n, o_total",
+  "SELECT c_custkey AS k, n AS o_n, total AS o_total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+q("pipe_join_inner", "lineitem part", "_table:=lineitem | rename l_partkey as p_partkey | join by (p_partkey) (_table:=part p_size:<5 | fields p_partkey, p_brand) inner | stats by (p_brand) count() n, sum(l_quantity) total",
+  "SELECT p_brand, count(*) AS n, sum(l_quantity) AS total FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY 1")
+q("pipe_union", "events", "event_type:=error | fields event_id | union (event_type:=click | fields event_id, user_id)", "SELECT event_id, NULL AS user_id FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+q("pipe_stream_context", "events", "value:>480 | stream_context before 1 after 2 time_window 1h | filter event_id:* | stats count() n, count_uniq(event_id) u",
+  """WITH e AS (SELECT *, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, props)),
+h AS (SELECT event_type, n, ts FROM e WHERE value > 480)
+SELECT count(*) AS n, count(DISTINCT event_id) AS u FROM e WHERE EXISTS (SELECT 1 FROM h WHERE h.event_type = e.event_type AND ((e.n >= h.n AND e.n <= h.n + 2 AND e.ts <= h.ts + INTERVAL 1 hour) OR (e.n <= h.n AND e.n >= h.n - 1 AND h.ts <= e.ts + INTERVAL 1 hour)))""")
+q("pipe_block_stats", "events", "* | block_stats | stats by (field) sum(rows) as n | filter field:=user_id | fields n", "SELECT count(*) AS n FROM events")
+q("pipe_blocks_count", "events", "* | blocks_count as b | filter b:>0 | math 1 as ok | fields ok", "SELECT 1.0 AS ok")
+
+# ---------------------------------------------------------------- stats
+
+q("stats_counts", "lineitem", "* | stats by (l_returnflag) count() n, count(none, l_tax) c, count_empty(none) e, count_uniq(l_suppkey, l_linenumber) u, count_uniq_hash(l_partkey) uh, count() if (l_quantity:>25) big",
+  "SELECT l_returnflag, count(*) AS n, count(*) AS c, count(*) AS e, count(DISTINCT (l_suppkey, l_linenumber)) AS u, count(DISTINCT l_partkey) AS uh, count(*) FILTER (l_quantity > 25) AS big FROM lineitem GROUP BY 1")
+q("stats_numbers", "lineitem", "* | stats by (l_linestatus) sum(l_quantity) s, avg(l_extendedprice) a, min(l_tax) lo, max(l_extendedprice) hi, sum(l_linenumber) i, avg(l_tax, l_discount) two",
+  "SELECT l_linestatus, sum(l_quantity) AS s, avg(l_extendedprice) AS a, min(l_tax) AS lo, max(l_extendedprice) AS hi, sum(l_linenumber) AS i, (sum(l_tax) + sum(l_discount)) / (2 * count(*)) AS two FROM lineitem GROUP BY 1")
+q("stats_quantile", "events", "* | stats by (event_type) quantile(0.9, value) p90, median(value) mid, quantile(0, value) lo, quantile(1, value) hi",
+  "SELECT event_type, list_sort(list(value))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS p90, list_sort(list(value))[CAST(floor(0.5 * count(*)) AS BIGINT) + 1] AS mid, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
+q("stats_histogram", "events", "* | stats by (event_type) histogram(value) h | unroll by (h) | unpack_json from h fields (hits) | math hits + 0 as hits | stats by (event_type) sum(hits) n", "SELECT event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
+q("stats_rate", "events", "_time:[2024-01-01, 2024-01-11) | stats by (event_type) rate() r, rate_sum(value) rs", "SELECT event_type, count(*) / 864000.0 AS r, sum(value) / 864000.0 AS rs FROM events WHERE ts < '2024-01-11' GROUP BY 1")
+q("stats_rows", "events", "* | stats by (event_type) row_min(value, event_id) lo, row_max(value, event_id, user_id) hi, sum_len(event_type) l",
+  """SELECT event_type, '{"event_id":"' || arg_min(event_id, value) || '"}' AS lo, '{"event_id":"' || arg_max(event_id, value) || '","user_id":"' || arg_max(user_id, value) || '"}' AS hi, CAST(sum(strlen(event_type)) AS BIGINT) AS l FROM events GROUP BY 1""")
+q("stats_row_any", "events", "* | stats by (event_type) row_any(event_type) r", """SELECT event_type, '{"event_type":"' || event_type || '"}' AS r FROM events GROUP BY 1""")
+q("stats_uniq_values", "orders", "* | stats by (o_orderstatus) uniq_values(_msg) v, uniq_values(_msg) limit 2 w",
+  """SELECT o_orderstatus, '["' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), '","') || '"]' AS v, '["' || array_to_string(list_sort(list(DISTINCT o_orderpriority))[1:2], '","') || '"]' AS w FROM orders GROUP BY 1""")
+q("stats_values", "conversations", "* | stats by (role) values(turn) v, json_values(role) j | json_array_len(v) as n | json_array_len(j) as m | fields role, n, m", "SELECT role, count(*) AS n, count(*) AS m FROM conversations GROUP BY 1")
+q("stats_min_max_text", "part", "* | stats min(p_brand) lo, max(p_brand) hi, min(_time) none", "SELECT arg_min(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS lo, arg_max(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS hi, '' AS none FROM part")
+q("stats_default_names", "events", "* | count(), sum(value)", 'SELECT count(*) AS "count()", sum(value) AS "sum(value)" FROM events')
+q("stats_empty_input", "events", "event_type:=none | stats count() n, sum(value) s", "SELECT 0 AS n, NULL AS s")
+q("stats_bucket_hour", "events", "* | stats by (_time:6h offset 1h, event_type) count() n", "SELECT time_bucket(INTERVAL 6 hour, ts, TIMESTAMP '2024-01-01 01:00:00') AS _time, event_type, count(*) AS n FROM events GROUP BY ALL")
+q("stats_bucket_week", "events", "* | stats by (_time:week) count() n", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS _time, count(*) AS n FROM events GROUP BY 1")
+q("stats_bucket_1w", "events", "* | stats by (_time:1w) count() n", "SELECT time_bucket(INTERVAL 7 day, ts, TIMESTAMP '1970-01-01 00:00:00') AS _time, count(*) AS n FROM events GROUP BY 1")
+q("stats_bucket_month", "orders", "* | stats by (_time:month) count() n, sum(o_totalprice) s", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS _time, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1")
+q("stats_bucket_year", "lineitem", "* | stats by (_time:year) sum(l_quantity) s", "SELECT CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS _time, sum(l_quantity) AS s FROM lineitem GROUP BY 1")
+q("stats_bucket_number", "lineitem", "* | stats by (l_quantity:10, l_orderkey:1KB) count() n", "SELECT floor(l_quantity / 10) * 10 AS l_quantity, l_orderkey // 1000 * 1000 AS l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL")
+q("stats_bucket_fraction", "lineitem", "* | stats by (l_discount:0.05) count() n", "SELECT round(floor(l_discount / 0.05 + 1e-12) * 0.05, 2) AS l_discount, count(*) AS n FROM lineitem GROUP BY 1")
+q("stats_bucket_ip", "events", '* | math event_id % 256 as a, user_id % 4 as b | format "10.0.<b>.<a>" as ip | stats by (ip:/24) count() n', "SELECT '10.0.' || (user_id % 4) || '.0' AS ip, count(*) AS n FROM events GROUP BY 1")
+q("stats_bucket_duration", "events", '* | math event_id * 1000000000 as ns | format "<duration:ns>" as d | stats by (d:1h) count() n | stats count() groups, sum(n) n', "SELECT count(DISTINCT event_id // 3600) AS groups, count(*) AS n FROM events")
+q("pricing_summary", "lineitem", "_time:<=1998-09-02T00:00:00Z | math l_extendedprice * (1 - l_discount) as disc, disc * (1 + l_tax) as charge | stats by (l_returnflag, l_linestatus) sum(l_quantity) sum_qty, sum(l_extendedprice) sum_base, sum(disc) sum_disc, sum(charge) sum_charge, avg(l_quantity) avg_qty, avg(l_discount) avg_disc, count() n | sort by (l_returnflag, l_linestatus)",
+  "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate < '1998-09-02 00:00:01' GROUP BY ALL")
+
+# ---------------------------------------------------------------- read API
+
+
+@api("api_query_newest", "SELECT event_id FROM events ORDER BY ts DESC LIMIT 20")
+def api_query_newest(spark, sf_dir):
+    return engine(spark, sf_dir, "events").query("*", limit=20).select("event_id")
+
+
+@api("api_hits", "SELECT time_bucket(INTERVAL 1 day, ts) AS _time, event_type, count(*) AS hits FROM events WHERE value > 100 AND ts >= '2024-01-03' AND ts < '2024-01-21' GROUP BY ALL")
+def api_hits(spark, sf_dir):
+    return engine(spark, sf_dir, "events").hits("value:>100 | limit 1", "1d", fields=["event_type"], start="2024-01-03", end="2024-01-20")
+
+
+@api("api_hits_limited", """WITH t AS (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 3)
+SELECT time_bucket(INTERVAL 7 day, ts, TIMESTAMP '1970-01-01 00:00:00') AS _time, t.user_id, count(*) AS hits FROM events LEFT JOIN t USING (user_id) GROUP BY ALL""")
+def api_hits_limited(spark, sf_dir):
+    return engine(spark, sf_dir, "events").hits("*", "1w", fields=["user_id"], fields_limit=3)
+
+
+@api("api_facets", "SELECT 'c_mktsegment' AS field_name, c_mktsegment AS field_value, count(*) AS hits FROM customer WHERE c_nationkey < 5 GROUP BY ALL")
+def api_facets(spark, sf_dir):
+    return engine(spark, sf_dir, "customer").facets("c_nationkey:<5 | fields c_mktsegment")
+
+
+@api("api_stats", """SELECT metric, MAP {'event_type': event_type} AS labels, value FROM (SELECT event_type, count(*)::DOUBLE AS n, sum(value) AS s FROM events GROUP BY 1) UNPIVOT (value FOR metric IN (n, s))""".replace("MAP {'event_type': event_type} AS labels", "event_type AS label"))
+def api_stats(spark, sf_dir):
+    df = engine(spark, sf_dir, "events").stats("* | stats by (event_type) count() n, sum(value) s")
+    return df.select("metric", F.col("labels")["event_type"].alias("label"), "value")
+
+
+@api("api_stats_range", "SELECT 'n' AS metric, time_bucket(INTERVAL 1 day, ts) AS _time, count(*)::DOUBLE AS value FROM events WHERE event_type = 'click' GROUP BY 2")
+def api_stats_range(spark, sf_dir):
+    return engine(spark, sf_dir, "events").stats_range("event_type:=click | stats count() n", "1d").drop("labels")
+
+
+@api("api_field_names", "SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name, count(*) AS hits FROM conversations WHERE turn = 1".replace("SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name, count(*) AS hits FROM conversations WHERE turn = 1", "SELECT name, (SELECT count(*) FROM conversations WHERE turn = 1) AS hits FROM (SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name)"))
+def api_field_names(spark, sf_dir):
+    return engine(spark, sf_dir, "conversations").field_names("turn:=1")
+
+
+@api("api_field_values", "SELECT user_id, count(*) AS hits FROM events WHERE event_type = 'error' GROUP BY 1")
+def api_field_values(spark, sf_dir):
+    return engine(spark, sf_dir, "events").field_values("event_type:=error", "user_id")
+
+
+@api("api_streams", """SELECT '{l_linestatus="' || l_linestatus || '",l_returnflag="' || l_returnflag || '"}' AS value, count(*) AS hits FROM lineitem GROUP BY 1""")
+def api_streams(spark, sf_dir):
+    return engine(spark, sf_dir, "lineitem").streams("*")
+
+
+@api("api_stream_ids", """SELECT '0000000000000000' || md5('{event_type="' || event_type || '"}') AS value, count(*) AS hits FROM events GROUP BY 1""")
+def api_stream_ids(spark, sf_dir):
+    return engine(spark, sf_dir, "events").stream_ids("*")
+
+
+@api("api_stream_field_names", "SELECT name, (SELECT count(*) FROM lineitem) AS hits FROM (SELECT unnest(['l_returnflag', 'l_linestatus']) AS name)")
+def api_stream_field_names(spark, sf_dir):
+    return engine(spark, sf_dir, "lineitem").stream_field_names("*")
+
+
+@api("api_stream_field_values", "SELECT l_returnflag AS value, count(*) AS hits FROM lineitem GROUP BY 1")
+def api_stream_field_values(spark, sf_dir):
+    return engine(spark, sf_dir, "lineitem").stream_field_values("*", "l_returnflag")
+
+
+@api("api_extra_filters", "SELECT count(*) AS n FROM events WHERE event_type = 'error' AND value > 100 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100 AND value < 110)")
+def api_extra_filters(spark, sf_dir):
+    return engine(spark, sf_dir, "events").query("user_id:in(value:<110 | fields user_id) | stats count() n", extra_filters="value:>100", extra_stream_filters="{event_type=error}")
+
+
+@api("api_json_lines", """SELECT '{"event_id":"' || event_id || '","event_type":"' || event_type || '"}' AS line FROM events WHERE event_type = 'error'""")
+def api_json_lines(spark, sf_dir):
+    return engine(spark, sf_dir, "events").json_lines("event_type:=error | fields event_id, event_type")
