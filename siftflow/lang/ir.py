@@ -23,6 +23,11 @@ def scope(f: str) -> str:
     return "" if f == MSG else quote(f) + ":"
 
 
+def before_sign(f: str) -> str:
+    """The field before a comparison is always written, as one after a word would belong to the word."""
+    return quote(f) + ":"
+
+
 def number(x: float) -> str:
     if x in (float("inf"), float("-inf")):
         return "inf" if x > 0 else "-inf"
@@ -107,7 +112,7 @@ class Exact(Filter):
     value: str
 
     def __str__(self):
-        return f"{scope(self.field)}={quote(self.value)}"
+        return f"{before_sign(self.field)}={quote(self.value)}"
 
 
 @dataclass(frozen=True)
@@ -116,7 +121,7 @@ class ExactPrefix(Filter):
     value: str
 
     def __str__(self):
-        return f"{scope(self.field)}={quote(self.value)}*"
+        return f"{before_sign(self.field)}={quote(self.value)}*"
 
 
 @dataclass(frozen=True)
@@ -125,7 +130,7 @@ class Regexp(Filter):
     pattern: str
 
     def __str__(self):
-        return f"{scope(self.field)}~{quote(self.pattern, {self.pattern.lower()})}"
+        return f"{before_sign(self.field)}~{quote(self.pattern, {self.pattern.lower()})}"
 
 
 @dataclass(frozen=True)
@@ -171,7 +176,7 @@ class StringCompare(Filter):
     value: str
 
     def __str__(self):
-        return f"{scope(self.field)}{self.op}{quote(self.value)}"
+        return f"{before_sign(self.field)}{self.op}{quote(self.value)}"
 
 
 @dataclass(frozen=True)
