@@ -126,7 +126,6 @@ q("pipe_copy", "orders", "* | copy o_orderkey as k, o_order* as x_* | fields k,
 q("pipe_rename", "customer", "* | rename c_custkey as key, c_* as * | fields key, nationkey, mktsegment", "SELECT c_custkey AS key, c_nationkey AS nationkey, c_mktsegment AS mktsegment FROM customer")
 q("pipe_drop_empty_fields", "events", "* | format if (value:>400) \"<event_type>\" as big | fields event_id, big | drop_empty_fields", "SELECT event_id, CASE WHEN value > 400 THEN event_type END AS big FROM events")
 q("pipe_field_names", "orders", "o_orderstatus:=F | field_names",
-  "SELECT name, hits FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', '_time', '_msg']) AS name, count(*) AS hits FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)".replace("FROM (SELECT unnest", "FROM (SELECT unnest").replace(" GROUP BY 1)", ")") if False else
   "SELECT u.name, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS hits FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', '_time', '_msg']) AS name) u")
 q("pipe_pack_json", "customer", "* | pack_json fields (c_custkey, c_mktsegment) as j | fields j", """SELECT '{"c_custkey":"' || c_custkey || '","c_mktsegment":"' || c_mktsegment || '"}' AS j FROM customer""")
 q("pipe_pack_logfmt", "orders", "* | pack_logfmt fields (o_orderkey, _msg) as l | fields l", """SELECT 'o_orderkey=' || o_orderkey || ' _msg=' || CASE WHEN contains(o_orderpriority, ' ') THEN '"' || o_orderpriority || '"' ELSE o_orderpriority END AS l FROM orders""")
@@ -141,7 +140,7 @@ q("pipe_extract_regexp", "pages", '* | extract_regexp "://(?P<host_name>[^/]+)/(
   "SELECT page_id, regexp_extract(url, '://([^/]+)/([a-z]+)', 1) AS host_name, regexp_extract(url, '://([^/]+)/([a-z]+)', 2) AS lang FROM pages")
 q("pipe_format", "events", '* | format "<uc:event_type>/<event_id>/<hexencode:event_type>/<base64encode:event_type>" as s | fields event_id, s',
   "SELECT event_id, upper(event_type) || '/' || event_id || '/' || hex(event_type) || '/' || base64(event_type::BLOB) AS s FROM events")
-q("pipe_format_decode", "pages", '* | format "<hexdecode:h><urldecode:u>" as s | fields page_id, s'.replace("* |", '* | format "<hexencode:url>" as h | format "<urlencode:url>" as u |'), "SELECT page_id, url || url AS s FROM pages")
+q("pipe_format_decode", "pages", '* | format "<hexencode:url>" as h | format "<urlencode:url>" as u | format "<hexdecode:h><urldecode:u>" as s | fields page_id, s', "SELECT page_id, url || url AS s FROM pages")
 q("pipe_format_units", "events", '* | math event_id * 1000000 as ns | format "<duration:ns> <ipv4:event_id> <time:user_id>" as s | filter event_id:<1000 | fields event_id, s',
   "SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE event_id || 'ms' END || ' 0.0.' || (event_id // 256) || '.' || (event_id % 256) || ' ' || strftime(to_timestamp(user_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS s FROM events WHERE event_id < 1000")
 q("pipe_math", "lineitem", "* | math l_extendedprice * (1 - l_discount) as net, net * (1 + l_tax) as gross, round(l_quantity / 7) as r, max(l_tax, l_discount) as m, l_linenumber ^ 2 % 5 as p, (l_orderkey & 6) xor 3 as b | fields l_orderkey, l_linenumber, net, gross, r, m, p, b",
@@ -156,11 +155,11 @@ q("pipe_collapse_nums", "events", '* | collapse_nums | fields event_id, _msg', "
 q("pipe_decolorize", "events", '* | format "\\x1b[31m<event_type>\\x1b[0m!" as s | decolorize s | fields event_id, s', "SELECT event_id, event_type || '!' AS s FROM events")
 q("pipe_hash", "events", "* | hash(event_type) as h | stats by (h) count() n | fields n", "SELECT count(*) AS n FROM events GROUP BY event_type")
 q("pipe_len", "documents", "* | len(_msg) as bytes | fields doc_id, bytes", "SELECT doc_id, strlen(text) AS bytes FROM documents")
-q("pipe_json_array_len", "events", '* | format "[<event_id>,2]" as a | json_array_len(a) as n, | stats by (n) count() c'.replace(" as n,", " as n"), "SELECT CAST(2 AS BIGINT) AS n, count(*) AS c FROM events")
+q("pipe_json_array_len", "events", '* | format "[<event_id>,2]" as a | json_array_len(a) as n | stats by (n) count() c', "SELECT CAST(2 AS BIGINT) AS n, count(*) AS c FROM events")
 q("pipe_unpack_json", "events", "* | unpack_json fields (k) | math k + 0 as k | stats count() n, sum(k) s", "SELECT count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) AS s FROM events")
 q("pipe_unpack_json_all", "events", "* | unpack_json result_prefix j_ | stats by (j_k) count() n", "SELECT json_extract_string(props, '$.k') AS j_k, count(*) AS n FROM events GROUP BY 1")
 q("pipe_unpack_logfmt", "events", '* | format "a=<event_id> b=<q:event_type> c" as s | unpack_logfmt from s fields (a, b) | fields event_id, a, b', "SELECT event_id, CAST(event_id AS VARCHAR) AS a, event_type AS b FROM events")
-q("pipe_unpack_syslog", "events", '* | format "<plain:x>" as x | format "&lt;165&gt;1 2024-01-02T03:04:05Z host<user_id> app <event_id> ID47 - <event_type> happened" as s | unpack_syslog from s fields (hostname, proc_id, level, message) | fields event_id, hostname, proc_id, level, message'.replace('format "<plain:x>" as x | ', ""),
+q("pipe_unpack_syslog", "events", '* | format "&lt;165&gt;1 2024-01-02T03:04:05Z host<user_id> app <event_id> ID47 - <event_type> happened" as s | unpack_syslog from s fields (hostname, proc_id, level, message) | fields event_id, hostname, proc_id, level, message',
   "SELECT event_id, 'host' || user_id AS hostname, CAST(event_id AS VARCHAR) AS proc_id, 'notice' AS level, event_type || ' happened' AS message FROM events")
 q("pipe_unpack_words", "orders", "* | unpack_words from _msg as w | fields o_orderkey, w", r"""SELECT o_orderkey, '["' || array_to_string(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+'), '","') || '"]' AS w FROM orders""")
 q("pipe_unroll", "orders", "* | unpack_words from _msg as w | unroll by (w) | stats by (w) count() n", r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+')) AS w FROM orders) GROUP BY 1")
@@ -250,7 +249,7 @@ def api_facets(spark, sf_dir):
     return engine(spark, sf_dir, "customer").facets("c_nationkey:<5 | fields c_mktsegment")
 
 
-@api("api_stats", """SELECT metric, MAP {'event_type': event_type} AS labels, value FROM (SELECT event_type, count(*)::DOUBLE AS n, sum(value) AS s FROM events GROUP BY 1) UNPIVOT (value FOR metric IN (n, s))""".replace("MAP {'event_type': event_type} AS labels", "event_type AS label"))
+@api("api_stats", "SELECT metric, event_type AS label, value FROM (SELECT event_type, count(*)::DOUBLE AS n, sum(value) AS s FROM events GROUP BY 1) UNPIVOT (value FOR metric IN (n, s))")
 def api_stats(spark, sf_dir):
     df = engine(spark, sf_dir, "events").stats("* | stats by (event_type) count() n, sum(value) s")
     return df.select("metric", F.col("labels")["event_type"].alias("label"), "value")
@@ -261,7 +260,7 @@ def api_stats_range(spark, sf_dir):
     return engine(spark, sf_dir, "events").stats_range("event_type:=click | stats count() n", "1d").drop("labels")
 
 
-@api("api_field_names", "SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name, count(*) AS hits FROM conversations WHERE turn = 1".replace("SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name, count(*) AS hits FROM conversations WHERE turn = 1", "SELECT name, (SELECT count(*) FROM conversations WHERE turn = 1) AS hits FROM (SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name)"))
+@api("api_field_names", "SELECT name, (SELECT count(*) FROM conversations WHERE turn = 1) AS hits FROM (SELECT unnest(['conv_id', 'turn', 'role', '_msg']) AS name)")
 def api_field_names(spark, sf_dir):
     return engine(spark, sf_dir, "conversations").field_names("turn:=1")
 

@@ -65,7 +65,7 @@ class LogFrame:
         if self.stream and name == STREAM_ID:
             return F.concat(F.lit("0" * 16), F.md5(self.stream_text()))
         if self.extra:
-            return F.element_at(c(self.extra), F.lit(name)) if False else F.try_element_at(c(self.extra), F.lit(name))
+            return F.try_element_at(c(self.extra), F.lit(name))
         return F.lit(None).cast("string")
 
     def stream_text(self) -> Column:

@@ -132,8 +132,7 @@ def duration_text(ns: Column) -> Column:
     a = F.abs(ns)
     out, rest = [], a
     for name, size in (("w", 7 * 86400 * 10**9), ("d", 86400 * 10**9), ("h", 3600 * 10**9), ("m", 60 * 10**9)):
-        n = F.floor(rest / size) if False else (rest - F.pmod(rest, F.lit(size))) / F.lit(size)
-        n = n.cast("long")
+        n = ((rest - F.pmod(rest, F.lit(size))) / F.lit(size)).cast("long")
         out.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(name))).otherwise(""))
         rest = F.pmod(rest, F.lit(size))
     seconds = F.when(rest > 0, F.concat(text_of_double(rest.cast("double") / 1e9), F.lit("s"))).otherwise("")

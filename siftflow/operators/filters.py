@@ -1,7 +1,8 @@
-"""Filters as Columns that are true or false, never null, so that NOT means what it says."""
+"""Filters as Columns. condition() is true or false, never null, so that NOT means what it says; keeping() may be null for false."""
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_, or_
 
@@ -18,8 +19,29 @@ from siftflow.lang.lexer import QueryError
 MAX_INLINE = 10_000
 
 
+#: Whether null may stand for false: so where rows are kept by a condition with no NOT above it. Only bare comparisons are pushed to the scan.
+_LOOSE: ContextVar[bool] = ContextVar("loose", default=False)
+
+
 def sure(x: Column) -> Column:
-    return F.coalesce(x, F.lit(False))
+    return x if _LOOSE.get() else F.coalesce(x, F.lit(False))
+
+
+def keeping(f: ir.Filter, frame: LogFrame) -> Column:
+    """The condition for where(): null drops a row like false, so comparisons stay bare."""
+    token = _LOOSE.set(True)
+    try:
+        return condition(f, frame)
+    finally:
+        _LOOSE.reset(token)
+
+
+def strict(f: ir.Filter, frame: LogFrame, flags: dict[int, str] | None = None) -> Column:
+    token = _LOOSE.set(False)
+    try:
+        return condition(f, frame, flags)
+    finally:
+        _LOOSE.reset(token)
 
 
 def all_of(cols) -> Column:
@@ -40,7 +62,7 @@ def condition(f: ir.Filter, frame: LogFrame, flags: dict[int, str] | None = None
     if isinstance(f, ir.Or):
         return any_of([go(x) for x in f.of])
     if isinstance(f, ir.Not):
-        return ~go(f.of)
+        return ~strict(f.of, frame, flags)
     if flags and id(f) in flags:
         return sure(c(flags[id(f)]))
     if getattr(f, "field", None) == ir.ALL:  # any of the fields
@@ -178,11 +200,11 @@ def stream(f: ir.StreamFilter, frame: LogFrame) -> Column:
         known = label in frame.stream
         s = frame.text(label) if known else F.lit("")
         if op in ("=", "!="):
-            x = condition(ir.Exact(label, vals[0]), frame) if known else F.lit(vals[0] == "")
+            x = strict(ir.Exact(label, vals[0]), frame) if known else F.lit(vals[0] == "")
         elif op in ("=~", "!~"):
             x = s.rlike(f"^(?:{text.java_re(vals[0])[0]})$")
         else:
-            x = members(ir.Members("in", label, vals), frame) if known else F.lit("" in vals)
+            x = strict(ir.Members("in", label, vals), frame) if known else F.lit("" in vals)
         return ~x if op in ("!=", "!~", "not_in") else x
 
     return any_of([all_of([one(*t) for t in a]) for a in f.of])

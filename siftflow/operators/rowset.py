@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftflow.frame import LogFrame, c
+from siftflow.functions.values import as_str
 from siftflow.lang import ir
 from siftflow.operators.filters import condition
 
-#: A join's right side is broadcast if Spark's own statistics say that it is small; nothing is broadcast by hint.
-
 
 def ordered(p: ir.Sort, fr: LogFrame) -> list:
     """Sort columns; the pipe's own desc turns each field's direction."""
@@ -105,7 +104,7 @@ def field_values(p: ir.FieldValues, fr: LogFrame) -> LogFrame:
 
 
 def join(p: ir.Join, fr: LogFrame, right: LogFrame) -> LogFrame:
-    """Left or inner. Missing keys are '' and match each other. The left row's own values win over the right's."""
+    """Left or inner; Spark's statistics choose how, and nothing is broadcast by hint. Missing keys are '' and match each other. The left row's own values win over the right's."""
     keys = []
     for k in p.by:
         a, b = fr.type(k), right.type(k)
@@ -123,8 +122,6 @@ def join(p: ir.Join, fr: LogFrame, right: LogFrame) -> LogFrame:
         elif fr.type(to) == right.type(n):
             new[to] = F.when(fr.filled(to), fr.col(to)).otherwise(x)
         else:
-            from siftflow.functions.values import as_str
-
             new[to] = F.when(fr.filled(to), fr.text(to)).otherwise(as_str(x, right.type(n)))
     return fr.with_df(df.withColumns(new).drop(*[f"__k{i}" for i in range(len(keys))], *[f"__v{i}" for i in range(len(names))]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +60,6 @@ def extract(p: ir.Extract, fr: LogFrame) -> LogFrame:
 
 def plain_pattern(s: Column, steps) -> dict[str, Column]:
     """A pattern without unquoting as nested built-ins: each literal is searched for after the value before it."""
-    at = F.expr("0")
     first = steps[0][0]
     rest = F.when(F.instr(s, first) > 0, F.substring(s, F.instr(s, first) + len(first), F.length(s))) if first else s
     out = {}
@@ -77,10 +78,6 @@ def plain_pattern(s: Column, steps) -> dict[str, Column]:
     return out
 
 
-def _urlencode(s: Column) -> Column:
-    return F.url_encode(s)
-
-
 def _seconds(ns: Column) -> Column:
     return values.text_of_double(ns / F.lit(1e9))
 
@@ -106,7 +103,7 @@ OPTIONS = {
     "hexnumdecode": lambda s: F.when(s.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(s, 16, 10)),
     "base64encode": lambda s: F.base64(s.cast("binary")),
     "base64decode": udfs.each(udfs.unbased, T.StringType()),
-    "urlencode": _urlencode,
+    "urlencode": F.url_encode,
     "urldecode": udfs.each(udfs.unurled, T.StringType()),
 }
 
@@ -234,8 +231,6 @@ def replace(p: ir.Replace, fr: LogFrame) -> LogFrame:
             to = p.new
             for n, i in groups.items():
                 to = to.replace("${" + n + "}", f"${{{i}}}").replace(f"${n}", f"${i}")
-            import re
-
             new = F.regexp_replace(s, java, re.sub(r"\$\{(\d+)\}", r"$\1", to))
     elif not p.old:
         new = s
@@ -331,10 +326,8 @@ def unroll(p: ir.Unroll, fr: LogFrame) -> LogFrame:
     lists = [F.coalesce(items(f), F.array().cast("array<string>")) for f in p.of]
     if p.iff is not None:
         lists = [F.when(condition(p.iff, fr), x).otherwise(F.array(fr.text(f))) for f, x in zip(p.of, lists)]
-    zipped = F.arrays_zip(*[x.alias(f"f{i}") for i, x in enumerate(lists)])
     names = {f: f"f{i}" for i, f in enumerate(p.of)}
     structs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), *[F.size(x) for x in lists]) - 1), lambda i: F.struct(*[F.get(x, i).alias(names[f]) for f, x in zip(p.of, lists)]))
-    del zipped
     out = fr.df.withColumn("__u", F.explode(structs)).withColumns({f: F.coalesce(F.col(f"__u.{n}"), F.lit("")) for f, n in names.items()}).drop("__u")
     return fr.with_df(out)
 

@@ -9,7 +9,7 @@ from siftflow.lang import ir
 from siftflow.lang.lexer import QueryError
 from siftflow.lang.parser import values_field
 from siftflow.operators import project, rowset, stats, transform
-from siftflow.operators.filters import MAX_INLINE, condition
+from siftflow.operators.filters import MAX_INLINE, condition, keeping
 from siftflow.plans import rewrite
 
 OPERATORS = {
@@ -111,7 +111,7 @@ class Compiler:
         parts = f.of if isinstance(f, ir.And) else (f,)
         plain = [p for p in parts if rewrite.cost(p) < rewrite.QUERY]
         if plain and not (len(plain) == 1 and isinstance(plain[0], ir.Noop)):
-            fr = fr.with_df(fr.df.where(condition(ir.And(tuple(plain)) if len(plain) > 1 else plain[0], fr)))
+            fr = fr.with_df(fr.df.where(keeping(ir.And(tuple(plain)) if len(plain) > 1 else plain[0], fr)))
         for p in parts:
             if rewrite.cost(p) == rewrite.QUERY:
                 fr = self.where_query(p, fr)

@@ -38,7 +38,7 @@ def _guarded(fn):
     def run(x):
         try:
             return fn(x)
-        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError, OSError):
             return [None]
 
     return run

@@ -72,4 +72,5 @@ def agg_names(df: DataFrame, aggregates: list) -> list[str]:
 def session_stats(fr: LogFrame, gap: str, aggregates: list, by: list[str] | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Statistics per session: rows of the same fields whose times are at most a gap apart."""
     df = fr.df.withWatermark(ir.TIME, watermark)
-    return df.groupBy(F.session_window(c(ir.TIME), gap).alias("session"), *[fr.key(b).alias(b) for b in by or []]).agg(*aggregates)
+    keys = [fr.key(b).alias(b) for b in by or []] or [F.pmod(F.unix_micros(c(ir.TIME)), F.lit(1)).alias("__all")]  # Spark wants a key beside the session, and no constant
+    return df.groupBy(F.session_window(c(ir.TIME), gap).alias("session"), *keys).agg(*aggregates).drop("__all")

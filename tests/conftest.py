@@ -14,7 +14,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.driver.memory", "4g").config("spark.sql.maxMetadataStringLength", "5000").config("spark.sql.warehouse.dir", tempfile.mkdtemp())
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
