@@ -134,12 +134,14 @@ class Engine:
 
     def stream_field_names(self, query: str, **args) -> DataFrame:
         fr = self.run(query, **args)
-        return rowset_fields(fr.with_df(fr.df.select(*[c(s) for s in self.frame.stream])))
+        if self.frame.stream:
+            return rowset_fields(fr.with_df(fr.df.select(*[c(s) for s in self.frame.stream])))
+        hits = fr.df.groupBy(fr.text(ir.STREAM).alias("s")).agg(F.count("*").alias("n"))
+        names = F.explode(F.regexp_extract_all("s", F.lit(r'(?:^\{|,)([^="]+)="(?:[^"\\]|\\.)*"'), 1))
+        return hits.select(names.alias("name"), "n").groupBy("name").agg(F.sum("n").alias("hits"))
 
     def stream_field_values(self, query: str, field: str, limit: int = 0, **args) -> DataFrame:
-        if field not in self.frame.stream:
-            return self.run(query, **args).df.limit(0).select(F.lit("").alias("value"), F.lit(0).cast("long").alias("hits"))
-        return self._streams(query, self.frame.text(field), "value", limit, **args)
+        return self._streams(query, self.frame.label(field), "value", limit, **args).where("value != ''")
 
     def tail(self, query: str, **options):
         from siftflow.streaming.tail import tail

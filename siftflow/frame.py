@@ -73,6 +73,15 @@ class LogFrame:
         labels = [F.when(self.text(s) != "", F.concat(F.lit(f'{s}="'), F.replace(F.replace(self.text(s), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))) for s in sorted(self.stream)]
         return F.concat(F.lit("{"), F.concat_ws(",", *labels), F.lit("}"))
 
+    def label(self, name: str) -> Column:
+        """The text of a label of the row's stream; '' if the stream doesn't have it."""
+        if name in self.stream:
+            return self.text(name)
+        if not self.stream and STREAM in self.types:  # a stored log holds the labels in the stream's text
+            raw = F.regexp_extract(c(STREAM), r'(?:^\{|,)\Q' + name + r'\E="((?:[^"\\]|\\.)*)"', 1)
+            return F.coalesce(F.regexp_replace(raw, r"\\(.)", "$1"), F.lit(""))
+        return F.lit("")
+
     def text(self, name: str) -> Column:
         return values.as_str(self.col(name), self.type(name))
 

@@ -197,14 +197,13 @@ def week_range(f: ir.WeekRange, frame: LogFrame) -> Column:
 
 def stream(f: ir.StreamFilter, frame: LogFrame) -> Column:
     def one(label: str, op: str, vals: tuple[str, ...]) -> Column:
-        known = label in frame.stream
-        s = frame.text(label) if known else F.lit("")
-        if op in ("=", "!="):
-            x = strict(ir.Exact(label, vals[0]), frame) if known else F.lit(vals[0] == "")
-        elif op in ("=~", "!~"):
-            x = s.rlike(f"^(?:{text.java_re(vals[0])[0]})$")
+        own = label in frame.stream
+        if op in ("=~", "!~"):
+            x = frame.label(label).rlike(f"^(?:{text.java_re(vals[0])[0]})$")
+        elif own:
+            x = strict(ir.Exact(label, vals[0]) if op in ("=", "!=") else ir.Members("in", label, vals), frame)
         else:
-            x = strict(ir.Members("in", label, vals), frame) if known else F.lit("" in vals)
+            x = frame.label(label).isin(list(vals)) if vals else F.lit(False)
         return ~x if op in ("!=", "!~", "not_in") else x
 
     return any_of([all_of([one(*t) for t in a]) for a in f.of])

@@ -144,7 +144,7 @@ def stream_context(p: ir.StreamContext, fr: LogFrame, f: ir.Filter) -> LogFrame:
 
     Overlapping stretches are one; a delimiter row follows each stretch of a stream but the last.
     """
-    by = [fr.text(s) for s in fr.stream] or [F.lit("")]
+    by = [fr.text(s) for s in fr.stream] or [fr.text(ir.STREAM)]
     t = F.unix_micros(fr.col(ir.TIME).cast("timestamp"))
     tie = [F.col(ir.MSG)] if ir.MSG in fr.types else []
     base = fr.df.withColumn("__hit", condition(f, fr)).withColumn("__t", t).withColumns({f"__s{i}": x for i, x in enumerate(by)})
@@ -159,7 +159,7 @@ def stream_context(p: ir.StreamContext, fr: LogFrame, f: ir.Filter) -> LogFrame:
     kept = df.where(F.coalesce(near, F.lit(False)))
     ends = kept.withColumn("__gap", F.lead("__n").over(w) - F.col("__n") > 1)
     out = ends.withColumn("__mark", F.explode(F.when(F.col("__gap"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    keep = set(fr.stream) | {ir.TIME}
+    keep = set(fr.stream) | {ir.TIME, ir.STREAM, ir.STREAM_ID}
     cols = []
     for x in fr.df.columns:
         delimiter = F.lit(DELIMITER) if x == ir.MSG and isinstance(fr.type(x), T.StringType) else c(x) if x in keep else F.lit(None)

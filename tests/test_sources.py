@@ -127,6 +127,10 @@ def test_store(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_day" in plan
     assert len(q.inputFiles()) < len(e.frame.df.inputFiles()) or "_day" in plan
+    assert e.query('{app="a1"} _time:2024-01-03').count() == 2 and e.query('{app!~"a.*"}').count() == 0 and e.query("{none=''}").count() == 20
+    assert [(r.name, r.hits) for r in e.stream_field_names("*").collect()] == [("app", 20)]
+    assert {(r.value, r.hits) for r in e.stream_field_values("_time:2024-01-01", "app").collect()} == {("a0", 2), ("a1", 2)}
+    assert e.query("m3 {app=a0} | stream_context before 1 time_window 2d").where("_msg != '---'").count() == 3
     store.compact(spark, path, dt.date(2024, 1, 2), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).count() == 4
     assert store.retain(spark, path, dt.date(2024, 1, 5), days=2) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
