@@ -120,7 +120,7 @@ q("filter_missing", "orders", 'nothing:="" !nothing:* | stats count() n', "SELEC
 
 # ---------------------------------------------------------------- projection
 
-q("pipe_fields", "customer", "* | fields c_cust*, c_nationkey, none", "SELECT c_custkey, c_nationkey, NULL AS none FROM customer")
+q("pipe_fields", "customer", "* | fields c_cust*, c_nationkey, none", "SELECT c_custkey, c_nationkey, CAST(NULL AS VARCHAR) AS none FROM customer")
 q("pipe_delete", "part", "* | delete p_t*, p_retailprice, _msg", "SELECT p_partkey, p_brand, p_size FROM part")
 q("pipe_copy", "orders", "* | copy o_orderkey as k, o_order* as x_* | fields k, x_key, x_status", "SELECT o_orderkey AS k, o_orderkey AS x_key, o_orderstatus AS x_status FROM orders")
 q("pipe_rename", "customer", "* | rename c_custkey as key, c_* as * | fields key, nationkey, mktsegment", "SELECT c_custkey AS key, c_nationkey AS nationkey, c_mktsegment AS mktsegment FROM customer")
@@ -146,7 +146,7 @@ q("pipe_format_units", "events", '* | math event_id * 1000000 as ns | format "<d
 q("pipe_math", "lineitem", "* | math l_extendedprice * (1 - l_discount) as net, net * (1 + l_tax) as gross, round(l_quantity / 7) as r, max(l_tax, l_discount) as m, l_linenumber ^ 2 % 5 as p, (l_orderkey & 6) xor 3 as b | fields l_orderkey, l_linenumber, net, gross, r, m, p, b",
   "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, round(l_quantity / 7) AS r, greatest(l_tax, l_discount) AS m, CAST(l_linenumber * l_linenumber % 5 AS DOUBLE) AS p, CAST(xor(l_orderkey & 6, 3) AS DOUBLE) AS b FROM lineitem")
 q("pipe_math_ieee", "events", "* | math event_id / (user_id - user_id) as d, ln(value - value) as l, none default 7 as n, floor(-value) as f, abs(0 - value) as a | filter event_id:>0 d:=inf | stats count() c, sum(n) s, min(f) mf, max(a) ma",
-  "SELECT count(*) AS c, 7.0 * count(*) AS s, min(floor(-value)) AS mf, max(value) AS ma FROM events WHERE event_id > 0")
+  "SELECT count(*) AS c, CAST(7 * count(*) AS DOUBLE) AS s, min(floor(-value)) AS mf, max(value) AS ma FROM events WHERE event_id > 0")
 q("pipe_replace", "pages", '* | replace ("/", "|") at url limit 3 | fields page_id, url', r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '/', '|'), '/', '|'), '/', '|') AS url FROM pages")
 q("pipe_replace_all", "events", '_msg:* | replace ("k", "key") | fields event_id, _msg', "SELECT event_id, replace(props, 'k', 'key') AS _msg FROM events")
 q("pipe_replace_regexp", "pages", '* | replace_regexp ("//([a-z]+)[.]", "//<$1>.") at url | fields page_id, url', r"SELECT page_id, regexp_replace(url, '//([a-z]+)[.]', '//<\1>.', 'g') AS url FROM pages")
@@ -164,7 +164,7 @@ q("pipe_unpack_syslog", "events", '* | format "&lt;165&gt;1 2024-01-02T03:04:05Z
 q("pipe_unpack_words", "orders", "* | unpack_words from _msg as w | fields o_orderkey, w", r"""SELECT o_orderkey, '["' || array_to_string(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+'), '","') || '"]' AS w FROM orders""")
 q("pipe_unroll", "orders", "* | unpack_words from _msg as w | unroll by (w) | stats by (w) count() n", r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '[\pL\p{Nd}_]+')) AS w FROM orders) GROUP BY 1")
 q("pipe_unroll_array", "embeddings", "* | unroll by (embedding) | stats by (label) count() n", "SELECT label, count(*) AS n FROM (SELECT label, unnest(embedding) AS e FROM embeddings) GROUP BY 1")
-q("pipe_sample", "events", "* | sample 10 | stats count() n | filter n:>0 | math 1 as ok | fields ok", "SELECT 1.0 AS ok")
+q("pipe_sample", "events", "* | sample 10 | stats count() n | filter n:>0 | math 1 as ok | fields ok", "SELECT CAST(1 AS DOUBLE) AS ok")
 
 # ---------------------------------------------------------------- row sets
 
@@ -175,7 +175,7 @@ q("pipe_sort_natural", "part", "* | uniq by (p_brand) | sort by (p_brand) limit
 q("pipe_sort_partition", "conversations", "* | sort by (turn desc) partition by (conv_id) limit 2 | fields conv_id, turn", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
 q("pipe_first", "orders", "* | first 5 by (o_totalprice, o_orderkey) | fields o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
 q("pipe_last", "orders", "* | last 5 by (o_totalprice, o_orderkey) | fields o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 5")
-q("pipe_limit", "events", "* | limit 25 | stats count() n", "SELECT 25 AS n")
+q("pipe_limit", "events", "* | limit 25 | stats count() n", "SELECT CAST(25 AS BIGINT) AS n")
 q("pipe_offset", "events", "* | offset 100 | stats count() n", "SELECT count(*) - 100 AS n FROM events")
 q("pipe_uniq", "lineitem", "* | uniq by (l_returnflag, l_linestatus) with hits", "SELECT l_returnflag, l_linestatus, count(*) AS hits FROM lineitem GROUP BY ALL")
 q("pipe_top", "events", "* | top 7 by (user_id) hits as n rank as r", "SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY 1 ORDER BY r LIMIT 7")
@@ -186,20 +186,20 @@ q("pipe_join_left", "orders customer", "_table:=customer | rename c_custkey as k
   "SELECT c_custkey AS k, n AS o_n, total AS o_total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 q("pipe_join_inner", "lineitem part", "_table:=lineitem | rename l_partkey as p_partkey | join by (p_partkey) (_table:=part p_size:<5 | fields p_partkey, p_brand) inner | stats by (p_brand) count() n, sum(l_quantity) total",
   "SELECT p_brand, count(*) AS n, sum(l_quantity) AS total FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY 1")
-q("pipe_union", "events", "event_type:=error | fields event_id | union (event_type:=click | fields event_id, user_id)", "SELECT event_id, NULL AS user_id FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+q("pipe_union", "events", "event_type:=error | fields event_id | union (event_type:=click | fields event_id, user_id)", "SELECT event_id, CAST(NULL AS BIGINT) AS user_id FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'click'")
 q("pipe_stream_context", "events", "value:>480 | stream_context before 1 after 2 time_window 1h | filter event_id:* | stats count() n, count_uniq(event_id) u",
   """WITH e AS (SELECT *, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, props)),
 h AS (SELECT event_type, n, ts FROM e WHERE value > 480)
 SELECT count(*) AS n, count(DISTINCT event_id) AS u FROM e WHERE EXISTS (SELECT 1 FROM h WHERE h.event_type = e.event_type AND ((e.n >= h.n AND e.n <= h.n + 2 AND e.ts <= h.ts + INTERVAL 1 hour) OR (e.n <= h.n AND e.n >= h.n - 1 AND h.ts <= e.ts + INTERVAL 1 hour)))""")
 q("pipe_block_stats", "events", "* | block_stats | stats by (field) sum(rows) as n | filter field:=user_id | fields n", "SELECT count(*) AS n FROM events")
-q("pipe_blocks_count", "events", "* | blocks_count as b | filter b:>0 | math 1 as ok | fields ok", "SELECT 1.0 AS ok")
+q("pipe_blocks_count", "events", "* | blocks_count as b | filter b:>0 | math 1 as ok | fields ok", "SELECT CAST(1 AS DOUBLE) AS ok")
 
 # ---------------------------------------------------------------- stats
 
 q("stats_counts", "lineitem", "* | stats by (l_returnflag) count() n, count(none, l_tax) c, count_empty(none) e, count_uniq(l_suppkey, l_linenumber) u, count_uniq_hash(l_partkey) uh, count() if (l_quantity:>25) big",
   "SELECT l_returnflag, count(*) AS n, count(*) AS c, count(*) AS e, count(DISTINCT (l_suppkey, l_linenumber)) AS u, count(DISTINCT l_partkey) AS uh, count(*) FILTER (l_quantity > 25) AS big FROM lineitem GROUP BY 1")
 q("stats_numbers", "lineitem", "* | stats by (l_linestatus) sum(l_quantity) s, avg(l_extendedprice) a, min(l_tax) lo, max(l_extendedprice) hi, sum(l_linenumber) i, avg(l_tax, l_discount) two",
-  "SELECT l_linestatus, sum(l_quantity) AS s, avg(l_extendedprice) AS a, min(l_tax) AS lo, max(l_extendedprice) AS hi, sum(l_linenumber) AS i, (sum(l_tax) + sum(l_discount)) / (2 * count(*)) AS two FROM lineitem GROUP BY 1")
+  "SELECT l_linestatus, sum(l_quantity) AS s, avg(l_extendedprice) AS a, min(l_tax) AS lo, max(l_extendedprice) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS i, (sum(l_tax) + sum(l_discount)) / (2 * count(*)) AS two FROM lineitem GROUP BY 1")
 q("stats_quantile", "events", "* | stats by (event_type) quantile(0.9, value) p90, median(value) mid, quantile(0, value) lo, quantile(1, value) hi",
   "SELECT event_type, list_sort(list(value))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS p90, list_sort(list(value))[CAST(floor(0.5 * count(*)) AS BIGINT) + 1] AS mid, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 q("stats_histogram", "events", "* | stats by (event_type) histogram(value) h | unroll by (h) | unpack_json from h fields (hits) | math hits + 0 as hits | stats by (event_type) sum(hits) n", "SELECT event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
@@ -212,7 +212,7 @@ q("stats_uniq_values", "orders", "* | stats by (o_orderstatus) uniq_values(_msg)
 q("stats_values", "conversations", "* | stats by (role) values(turn) v, json_values(role) j | json_array_len(v) as n | json_array_len(j) as m | fields role, n, m", "SELECT role, count(*) AS n, count(*) AS m FROM conversations GROUP BY 1")
 q("stats_min_max_text", "part", "* | stats min(p_brand) lo, max(p_brand) hi, min(_time) none", "SELECT arg_min(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS lo, arg_max(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS hi, '' AS none FROM part")
 q("stats_default_names", "events", "* | count(), sum(value)", 'SELECT count(*) AS "count()", sum(value) AS "sum(value)" FROM events')
-q("stats_empty_input", "events", "event_type:=none | stats count() n, sum(value) s", "SELECT 0 AS n, NULL AS s")
+q("stats_empty_input", "events", "event_type:=none | stats count() n, sum(value) s", "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS s")
 q("stats_bucket_hour", "events", "* | stats by (_time:6h offset 1h, event_type) count() n", "SELECT time_bucket(INTERVAL 6 hour, ts, TIMESTAMP '2024-01-01 01:00:00') AS _time, event_type, count(*) AS n FROM events GROUP BY ALL")
 q("stats_bucket_week", "events", "* | stats by (_time:week) count() n", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS _time, count(*) AS n FROM events GROUP BY 1")
 q("stats_bucket_1w", "events", "* | stats by (_time:1w) count() n", "SELECT time_bucket(INTERVAL 7 day, ts, TIMESTAMP '1970-01-01 00:00:00') AS _time, count(*) AS n FROM events GROUP BY 1")
