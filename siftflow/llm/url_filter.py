@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftflow.llm.common import LOWER, UPPER
+from siftflow.llm.common import LOWER, UPPER, literal_rows
 
 BROADCAST_RULES = 100_000
 #: (host, path, url pattern or null, verdict)
@@ -60,7 +60,7 @@ def quoted(text: Column) -> Column:
 def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", otherwise: str = OTHERWISE) -> DataFrame:
     """One row per page: page_id, host, path, rule (host and path of the rule that won; else null), verdict."""
     spark = pages.sparkSession
-    rules = spark.createDataFrame(RULES, RULE_SCHEMA) if rules is None else rules
+    rules = literal_rows(spark, RULES, RULE_SCHEMA) if rules is None else rules
     rules = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "pattern", "verdict")
     rules = rules.withColumn("rule_id", F.xxhash64("host", "path", "pattern", "verdict"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
