@@ -10,6 +10,7 @@ from siftflow.frame import LogFrame, c
 from siftflow.functions.values import as_str
 from siftflow.lang import ir
 from siftflow.operators.filters import condition
+from siftflow.tables import written
 
 
 def ordered(p: ir.Sort, fr: LogFrame) -> list:
@@ -34,20 +35,23 @@ def sort(p: ir.Sort, fr: LogFrame) -> LogFrame:
         df = df.withColumn(p.rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
         df = df.where(c(p.rank) > p.offset).orderBy(p.rank) if p.offset else df.orderBy(c(p.rank))
         return fr.with_df(df)
-    if p.offset:
-        df = df.offset(p.offset)
     if p.rank:
-        df = ranked_in_parallel(df, order, p.rank, p.offset)
-    return fr.with_df(df)
+        df = ranked_in_parallel(fr.df, order, p.rank, 0)
+        return fr.with_df(df.where(c(p.rank) > p.offset) if p.offset else df)
+    return fr.with_df(df.offset(p.offset) if p.offset else df)
 
 
 def ranked_in_parallel(df: DataFrame, order: list, rank: str, offset: int) -> DataFrame:
-    """Places in the whole order without one big partition: a place in its range partition, plus the rows of those before."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__s"))  # one row per partition
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
+    """Places in the whole order without one big partition: a place in its range partition, plus the rows of those before.
+
+    The partitioned rows are a written table, as another run could draw other boundaries.
+    """
+    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return parts.withColumn("__r", own).join(F.broadcast(before), "__p").withColumn(rank, F.col("__r") + F.col("__b") + offset).drop("__p", "__r", "__b").orderBy(rank)
+    placed = written(parts.withColumn("__r", own), "ranked")
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__s"))  # one row per partition
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
+    return placed.join(F.broadcast(before), "__p").withColumn(rank, F.col("__r") + F.col("__b") + offset).drop("__p", "__r", "__b").orderBy(c(rank))
 
 
 def limit(p: ir.Limit, fr: LogFrame) -> LogFrame:
