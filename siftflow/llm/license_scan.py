@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftflow.llm.common import word_array
+from siftflow.llm.common import literal_rows, word_array
 
 GRAM = 3
 #: Diagonals at most so far apart are merged; a span needs this share of its template, and may be so much longer than it.
@@ -45,7 +45,7 @@ def grams(words: str, k: int) -> Column:
 
 
 def template_grams(spark: SparkSession, templates, k: int) -> DataFrame:
-    t = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "tid int, label string, text string")
+    t = literal_rows(spark, [(i, label, text) for i, (label, text) in enumerate(templates)], "tid int, label string, text string")
     t = t.select("tid", "label", word_array(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     g = t.where(F.col("len") >= k).select("tid", "label", "len", F.posexplode(grams("w", k)).alias("tpos", "h"))
     return g.withColumn("need", F.size(F.collect_set("h").over(Window.partitionBy("tid"))))
