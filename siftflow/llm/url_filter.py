@@ -1,7 +1,7 @@
 """URL filters: rules indexed by their rarest literal token.
 
-A rule is a host (it fits all subdomains), a path prefix, an optional regular expression on the whole url and a verdict. Its
-literal tokens are its host's labels and its path's segments. How many urls hold each token is counted over all urls, and the
+A rule is a host (it fits all subdomains), a path prefix, an optional regular expression on the whole url with the words that
+it needs, and a verdict. Its literal tokens are its host's labels, its path's segments and those words. How many urls hold each token is counted over all urls, and the
 rule is indexed by its rarest one, so the tokens of a url fetch the few rules that may fit, and only those run their regular
 expressions. Of fitting rules the longest (host and path together) wins, then the smaller (host, path).
 
@@ -19,15 +19,21 @@ from pyspark.sql import functions as F
 from siftflow.llm.common import LOWER, UPPER, literal_rows
 
 BROADCAST_RULES = 100_000
-#: (host, path, url pattern or null, verdict)
+#: (host, path, url pattern or null, words that the pattern needs, with a space between them, verdict)
 RULES = [
-    ("com", "/", None, "allow"),
-    ("example.com", "/en/", None, "block"),
-    ("www.example.com", "/en/", None, "allow"),
-    ("net", "/es/", None, "block"),
-    ("net", "/fr/", None, "block"),
+    ("com", "/", None, None, "allow"),
+    ("example.com", "/en/", None, None, "block"),
+    ("www.example.com", "/en/", None, None, "allow"),
+    ("net", "/es/", None, None, "block"),
+    ("net", "/fr/", None, None, "block"),
 ]
-RULE_SCHEMA = "host string, path string, pattern string, verdict string"
+#: Where no rule for a host fits, a pattern of spam hosts may block; all else is allowed.
+PATTERNS = [
+    ("", "", r"(?i)://([^/?#]*[.-])?spam([.-][^/?#]*)?([/?#]|$)", "spam", "block"),
+    ("", "", r"(?i)://([^/?#]*\.)?(cheap|online|best)-pills([.-][^/?#]*)?([/?#]|$)", "pills", "block"),
+    ("", "", r"(?i)://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)", "casino", "block"),
+]
+RULE_SCHEMA = "host string, path string, pattern string, words string, verdict string"
 OTHERWISE = "allow"
 
 
@@ -47,10 +53,16 @@ def path_tokens(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x))
 
 
+def word_tokens(host: Column) -> Column:
+    """The parts of the host between dots and hyphens."""
+    return F.transform(F.filter(F.split(host, "[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("w:"), x))
+
+
 def rule_tokens(rules: DataFrame) -> DataFrame:
     """rule_id and each literal token: whole labels of the host, and the path's segments that a slash ends."""
-    ended = F.regexp_extract(F.coalesce("path", F.lit("")), "^(.*/)", 1)
-    return rules.select("rule_id", F.explode(F.array_distinct(F.concat(host_tokens(F.coalesce("host", F.lit(""))), path_tokens(ended)))).alias("token"))
+    ended = F.regexp_extract(F.col("path"), "^(.*/)", 1)
+    words = F.transform(F.filter(F.split(F.coalesce("words", F.lit("")), " "), lambda x: x != ""), lambda x: F.concat(F.lit("w:"), F.lower(x)))
+    return rules.select("rule_id", F.explode(F.array_distinct(F.concat(host_tokens(F.col("host")), path_tokens(ended), words))).alias("token"))
 
 
 def quoted(text: Column) -> Column:
@@ -58,13 +70,13 @@ def quoted(text: Column) -> Column:
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", otherwise: str = OTHERWISE) -> DataFrame:
-    """One row per page: page_id, host, path, rule (host and path of the rule that won; else null), verdict."""
+    """One row per page: page_id, host, path, rule (host and path of the rule that won; null for one without either, or none), verdict."""
     spark = pages.sparkSession
-    rules = literal_rows(spark, RULES, RULE_SCHEMA) if rules is None else rules
-    rules = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "pattern", "verdict")
-    rules = rules.withColumn("rule_id", F.xxhash64("host", "path", "pattern", "verdict"))
+    rules = literal_rows(spark, RULES + PATTERNS, RULE_SCHEMA) if rules is None else rules
+    rules = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "pattern", "words", "verdict")
+    rules = rules.withColumn("rule_id", F.xxhash64("host", "path", "pattern", "words", "verdict"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    tokens = F.array_distinct(F.concat(host_tokens(F.col("host")), path_tokens(F.col("path"))))
+    tokens = F.array_distinct(F.concat(host_tokens(F.col("host")), path_tokens(F.col("path")), word_tokens(F.col("host"))))
     literal = rule_tokens(rules)
     used = literal.select("token").distinct()
     n = rules.count()
@@ -85,4 +97,4 @@ def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, id_col: str =
     best = F.array_max(F.transform(F.filter("rules", fits), lambda r: F.struct(r["size"].alias("size"), r.host.alias("host"), r.path.alias("path"), r.verdict.alias("verdict"))))
     judged = asked.withColumn("best", F.when(F.col("rules").isNotNull(), best)).groupBy("page_id", "url", "host", "path").agg(F.max("best").alias("best"), F.count(F.when(F.col("token") == "", 1)).alias("rows"))
     each = judged.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    return each.select("page_id", "host", "path", F.when(F.col("best.size") > 0, F.concat("best.host", "best.path")).alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
