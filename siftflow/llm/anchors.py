@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftflow.llm.common import shuffle_parts, written
+from siftflow.llm.common import written
 
 #: Symbols that are hashed in one go, and runs that are merged before they are sent.
 CHUNK, FLUSH = 1 << 18, 1 << 20
@@ -242,14 +242,13 @@ def judge_blocks(once: bool, hot: int):
     return run
 
 
-def judged_runs(docs: DataFrame, width: int, k: int, symbols, once: bool, hot: int, name: str) -> DataFrame:
+def judged_runs(docs: DataFrame, width: int, k: int, symbols, once: bool, hot: int, buckets: int, name: str) -> DataFrame:
     """A written table of RUN rows: runs known to be repeated, and one place of each run that must be compared with others.
 
     once: of equal runs, the one at the smallest (doc_id, start) isn't REPEATED; otherwise all are.
     """
-    n = shuffle_parts(docs.sparkSession)
-    blocks = docs.mapInArrow(record_blocks(width, k, n, symbols, once), BLOCK)
-    return written(blocks.repartitionById(n, F.col("bucket")).mapInArrow(judge_blocks(once, hot), RUN), name)
+    blocks = docs.mapInArrow(record_blocks(width, k, buckets, symbols, once), BLOCK)
+    return written(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(judge_blocks(once, hot), RUN), name)
 
 
 def merged_spans(spans: np.ndarray) -> np.ndarray:

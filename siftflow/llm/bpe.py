@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftflow.llm.common import shuffle_parts
+from siftflow.llm.common import bucket_count
 
 CHUNK_WORDS = 1 << 21
 BLOCK = "chunk long, part int, kind int, payload binary"
@@ -213,7 +213,7 @@ def _join(path: str):
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), decoded."""
-    n = shuffle_parts(docs.sparkSession)
+    n = bucket_count(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words = texts.mapInArrow(_split(path, n, chunk_words, WORDS), BLOCK)
     places = texts.mapInArrow(_split(path, n, chunk_words, PLACES), BLOCK)

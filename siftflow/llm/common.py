@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftflow.tables import forget, shared_dir, written  # noqa: F401
+
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words once A-Z are lower-cased.
 ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="siftflow-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing that is written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that written() made and nobody needs any more."""
-    jvm = df.sparkSession._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+#: Input bytes per bucket at most, where a bucket's rows must fit in a task's memory.
+BUCKET_BYTES = 16 << 20
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(docs: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more if the input is known to be larger than BUCKET_BYTES times that."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = 0 < size < 1 << 58  # a plan without statistics claims to be huge
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES) if known else 1)
 
 
 def ascii_lower(text: Column) -> Column:

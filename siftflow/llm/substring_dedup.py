@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftflow.llm.anchors import COMPARE, HOT, REPEATED, judged_runs, merged_spans
-from siftflow.llm.common import shuffle_parts
+from siftflow.llm.common import bucket_count
 
 #: Words of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.
 WIDTH, GRAM, HOT_RUNS = 35, 8, 20_000
@@ -102,12 +102,12 @@ def _spans(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, start, stop) in words, from start up to but without stop: windows that occur more than once, overlapping ones not yet merged."""
+    n = bucket_count(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = judged_runs(docs, width, min(gram, width), word_symbols, False, hot_runs, "windows")
+    runs = judged_runs(docs, width, min(gram, width), word_symbols, False, hot_runs, n, "windows")
     whole = runs.where(F.col("role") == REPEATED).select("doc_id", "start", (F.col("start") + F.col("nwin") + width - 1).cast("int").alias("stop"))
     asked = runs.where(F.col("role") != REPEATED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", "key", "role")).alias("runs"))
     packed = docs.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_packer(width), PACKED)
-    n = shuffle_parts(docs.sparkSession)
     counted = packed.where(~F.col("hot")).repartition(n, "key").sortWithinPartitions("key").drop("hot").mapInArrow(_counter(width), SPAN)
     found = whole.unionByName(counted)
     if runs.where(F.col("role") == HOT).limit(1).count():

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftflow.llm.anchors import HOT, REPEATED, judged_runs, merged_spans, mixed
-from siftflow.llm.common import shuffle_parts
+from siftflow.llm.common import bucket_count
 
 #: Bytes of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.
 WIDTH, GRAM, HOT_RUNS = 100, 24, 50_000
@@ -158,12 +158,12 @@ def _bucket(width: int, k: int):
 def later_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, start, stop) in bytes, from start up to but without stop: covered by strings that also start earlier; spans may overlap."""
     gram = min(gram, width)
+    n = bucket_count(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = judged_runs(docs, width, gram, byte_symbols, True, hot_runs, "strings")
+    runs = judged_runs(docs, width, gram, byte_symbols, True, hot_runs, n, "strings")
     whole = runs.where(F.col("role") == REPEATED).select("doc_id", "start", (F.col("start") + F.col("nwin") + width - 1).cast("int").alias("stop"))
     asked = runs.where(F.col("role") != REPEATED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", "key", "role")).alias("runs"))
     suffixes = docs.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_suffixes(width, gram), SUFFIX)
-    n = shuffle_parts(docs.sparkSession)
     cold = suffixes.where(~F.col("hot")).drop("hot").repartitionByRange(n, "lead").sortWithinPartitions("lead")
     found = whole.unionByName(cold.mapInArrow(_bucket(width, gram), SPAN))
     if runs.where(F.col("role") == HOT).limit(1).count():
