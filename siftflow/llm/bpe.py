@@ -7,7 +7,8 @@ they are joined to the places by number. Only distinct words and small numbers t
 joins the ids with the vocabulary's pieces and puts a space between them, as the tokenizers library does for a vocabulary
 without a decoder.
 
-The scan runs once for the words and once for the places, over the same splits of the same table. Chunks are named, and their
+The scan runs once for the words and once for the places, over the same splits of the same table, which is written first if docs
+is more than a scan of files. Chunks are named, and their
 words numbered, by content, so both agree, also when a lost executor's part is made again.
 
 A null text is empty and has no ids. Texts of any length, repeated rows and null ids are rows like any other. The strings of
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftflow.llm.common import bucket_count
+from siftflow.llm.common import bucket_count, steady
 
 CHUNK_WORDS = 1 << 21
 BLOCK = "chunk long, part int, kind int, payload binary"
@@ -214,7 +215,7 @@ def _join(path: str):
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), decoded."""
     n = bucket_count(docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = steady(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     words = texts.mapInArrow(_split(path, n, chunk_words, WORDS), BLOCK)
     places = texts.mapInArrow(_split(path, n, chunk_words, PLACES), BLOCK)
     ids = words.repartitionById(n, F.col("part")).mapInArrow(_encode(path), BLOCK)

@@ -47,8 +47,25 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def shuffles(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs as it is if it only scans files, whose rows come in one order; else a table of it, as rows of a shuffle may come in another order when they are read again."""
+    return written(docs, "steady") if shuffles(docs) else docs
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table in fewer pieces than there are cores, such as one file, is rewritten in as many; others stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if shuffles(docs) or docs._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return docs
+    return written(docs.repartition(cores), "spread")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: A group is heavy if it holds more than one in HEAVY rows; there can't be more than HEAVY such groups, so they may be broadcast.

@@ -22,7 +22,7 @@ def vocabulary() -> str:
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
-    return quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,11 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+    return url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
