@@ -113,8 +113,8 @@ class LogFrame:
                 out[f] = None
         return list(out)
 
-    def row_json(self, fields) -> Column:
-        """The non-empty values of a row as JSON of strings, keys sorted."""
-        names = sorted(self.expand(fields))
+    def row_json(self, fields, in_order: bool = False) -> Column:
+        """The non-empty values of a row as JSON of strings, keys sorted, or in the order of the fields."""
+        names = self.expand(fields) if in_order else sorted(self.expand(fields))
         cols = [F.when(self.text(n) != "", self.text(n)).alias(n) for n in names]
         return F.to_json(F.struct(*cols)) if cols else F.lit("{}")

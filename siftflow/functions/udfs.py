@@ -123,6 +123,8 @@ def syslog(text: str, year: int = 1970, offset_us: int = 0) -> dict[str, str]:
     from datetime import datetime, timedelta
 
     out: dict[str, str] = {}
+    if not text:
+        return out
     m = _PRI.match(text)
     if m:
         pri = int(m[1])
@@ -199,7 +201,9 @@ def extracted(text: str, steps: list[tuple[str, str, str]]) -> dict[str, str]:
             m = re.match(r'"(?:[^"\\]|\\.)*"|`[^`]*`', rest)
             if m:
                 value, used = unquoted(m[0]), m.end()
-                if after and not rest.startswith(after, used):
+                if after and not rest.startswith(after, used):  # the value counts, what follows doesn't
+                    if f != "_":
+                        out[f] = value
                     return out
         if value is None:
             used = rest.find(after) if after else len(rest)

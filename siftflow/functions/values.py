@@ -137,7 +137,7 @@ def duration_text(ns: Column) -> Column:
         rest = F.pmod(rest, F.lit(size))
     seconds = F.when(rest > 0, F.concat(text_of_double(rest.cast("double") / 1e9), F.lit("s"))).otherwise("")
     small = F.when(a == 0, "0s").when(a < 1000, F.concat(a.cast("string"), F.lit("ns"))).when(a < 10**6, F.concat(text_of_double(a / 1e3), F.lit("µs"))).when(a < 10**9, F.concat(text_of_double(a / 1e6), F.lit("ms"))).otherwise(F.concat(*out, seconds))
-    return F.when(ns < 0, F.concat(F.lit("-"), small)).otherwise(small)
+    return F.when(ns < 0, F.concat(F.lit("-"), small)).when(ns.isNotNull(), small)
 
 
 def natural(text: Column) -> Column:

@@ -34,6 +34,10 @@ def number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e16 else repr(x)
 
 
+#: Binary operators of math, by how loosely they bind.
+MATH_RANK = {"^": 1, "*": 2, "/": 2, "%": 2, "+": 3, "-": 3, "&": 4, "xor": 5, "or": 6, "default": 7}
+
+
 class Filter:
     def parts(self) -> tuple[Filter, ...]:
         return ()
@@ -393,14 +397,19 @@ class MathExpr:
 
     def __str__(self):
         if self.op == "num":
-            return self.value
+            return self.value if self.value[:1].isdigit() and all(c.isalnum() or c == "." for c in self.value) else quote(self.value)
         if self.op == "field":
             return quote(self.value, {"default"})
         if self.op.isalpha() and self.op not in ("xor", "or", "default"):
             return f"{self.op}({', '.join(map(str, self.args))})"
         if len(self.args) == 1:
-            return f"({self.op}{self.args[0]})"
-        return f"({self.args[0]} {self.op} {self.args[1]})"
+            return f"{self.op}({self.args[0]})" if self.args[0].rank() else f"{self.op}{self.args[0]}"
+        left, right = (f"({a})" if a.rank() > self.rank() or i and a.rank() == self.rank() else str(a) for i, a in enumerate(self.args))
+        return f"{left} {self.op} {right}"
+
+    def rank(self) -> int:
+        """How loosely it binds: 0 for a value or a call."""
+        return MATH_RANK.get(self.op, 0) if len(self.args) == 2 else 0
 
 
 @dataclass(frozen=True)

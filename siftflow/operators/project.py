@@ -28,11 +28,11 @@ def copy(p: ir.Copy, fr: LogFrame) -> LogFrame:
     """Pairs one after the other; a missing source gives an empty column; the target is overwritten."""
     for a, b in p.pairs:
         if a.endswith("*"):
-            wild = [(x, (b[:-1] if b.endswith("*") else b) + x[len(a) - 1 :]) for x in fr.columns if x.startswith(a[:-1])]
+            wild = [(x, b[:-1] + x[len(a) - 1 :] if b.endswith("*") else b) for x in fr.columns if x.startswith(a[:-1])]
         else:
             wild = [(a, b)]
         moved = {x for x, y in wild if x != y} if p.move else set()
-        new = {y: fr.col(x).alias(y) for x, y in wild}
+        new = {y: fr.col(x).alias(y) for x, y in wild if y}  # a field without a name can't be kept
         keep = [new.pop(x) if x in new else c(x) for x in fr.df.columns if x in new or x not in moved]
         fr = fr.with_df(fr.df.select(*keep, *new.values()))
     return fr
@@ -55,12 +55,12 @@ def field_names(p: ir.FieldNames, fr: LogFrame) -> LogFrame:
 
 def pack(p: ir.Pack, fr: LogFrame) -> LogFrame:
     if p.kind == "json":
-        out = fr.row_json(p.of)
+        out = fr.row_json(p.of, in_order=True)
     else:
         parts = []
         for n in fr.expand(p.of):
             s = fr.text(n)
-            q = F.when(s.rlike(r'[\x00-\x20"\\=]'), F.regexp_replace(F.to_json(F.struct(s.alias("x"))), r'^\{"x":(.*)\}$', "$1")).otherwise(s)
+            q = F.when(s.rlike(r'[\x00-\x20"\\]'), F.regexp_replace(F.to_json(F.struct(s.alias("x"))), r'^\{"x":(.*)\}$', "$1")).otherwise(s)
             parts.append(F.when(s != "", F.concat(F.lit(n + "="), q)))
         out = F.concat_ws(" ", *parts)
     return put(fr, {p.result: out})

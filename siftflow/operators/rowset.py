@@ -94,10 +94,11 @@ def facets(p: ir.Facets, fr: LogFrame) -> LogFrame:
     """The top values of each field, with their hits. Fields with too many or too long values go, and constant ones."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), fr.text(n).alias("field_value")) for n in fr.columns]))
     hits = fr.df.select(pairs.alias("x")).select("x.*").where("field_value != ''").groupBy("field_name", "field_value").agg(F.count("*").alias("hits"))
-    stat = hits.groupBy("field_name").agg(F.count("*").alias("n"), F.max(F.octet_length("field_value")).alias("longest"))
+    stat = hits.groupBy("field_name").agg(F.count("*").alias("n"), F.max(F.octet_length("field_value")).alias("longest"), F.sum("hits").alias("filled"))
     good = stat.where((F.col("n") <= p.max_values) & (F.col("longest") <= p.max_len))
-    if not p.keep_const:
-        good = good.where("n > 1")
+    if not p.keep_const:  # constant: one value, in every row
+        total = fr.df.agg(F.count("*").alias("rows")).withColumn("one", F.lit(1))
+        good = good.withColumn("one", F.lit(1)).join(total, "one").where("n > 1 OR filled < rows")
     kept = hits.join(F.broadcast(good.select("field_name")), "field_name")  # a row per field
     w = Window.partitionBy("field_name").orderBy(F.desc("hits"), "field_value")
     return fr.with_df(kept.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= p.n).drop("__r"))

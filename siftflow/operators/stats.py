@@ -72,8 +72,14 @@ def bucketed(k: ir.GroupKey, fr: LogFrame) -> Column:
         return floor(fr.col(k.field).cast("double"))
     s = fr.text(k.field)
     plain, dur, ip = values.plain_number(s), values.duration_ns(s), values.ipv4_number(s)
+    if literals.duration_ns(k.bucket) is not None:
+        at = F.when(s.rlike(values.RFC3339), s.try_cast("timestamp"))
+        timed = F.when(at.isNotNull(), values.text_of_time(time_bucket(at, k.bucket, k.offset)))
+    else:
+        timed = F.lit(None).cast("string")
     return (
-        F.when(plain.isNotNull(), values.text_of_double(floor(plain)))
+        F.when(timed.isNotNull(), timed)
+        .when(plain.isNotNull(), values.text_of_double(floor(plain)))
         .when(dur.isNotNull(), values.duration_text(floor(dur)))
         .when(ip.isNotNull(), values.ipv4_text(floor(ip.cast("double"))))
         .otherwise(s)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,10 +84,14 @@ def _seconds(ns: Column) -> Column:
 
 
 def _format_time(s: Column) -> Column:
-    n = values.plain_number(s)
+    """Of a unix time to its last nanosecond, which a timestamp of micros couldn't hold."""
+    n = F.when(s.rlike(r"^-?\d{1,19}(\.\d{1,9})?$"), s).try_cast("decimal(38,9)")
     a = F.abs(n)
-    us = F.when(a < 1e11, n * 1e6).when(a < 1e14, n * 1e3).when(a < 1e17, n).otherwise(n / 1e3)
-    return values.text_of_time(F.timestamp_micros(us.cast("long")))
+    ns = F.when(a < 10**11, n * 10**9).when(a < 10**14, n * 10**6).when(a < 10**17, n * 1000).otherwise(n).cast("decimal(28,0)")
+    seconds = F.floor(ns / F.lit(10**9)).cast("long")
+    rest = (ns - seconds.cast("decimal(19,0)") * F.lit(10**9)).cast("long")
+    frac = F.regexp_replace(F.concat(F.lit("."), F.lpad(rest.cast("string"), 9, "0")), r"\.?0+$", "")
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("Z"))
 
 
 OPTIONS = {
@@ -152,6 +157,7 @@ def _round(x: Column, *step: Column) -> Column:
     if not step:
         return F.when(F.isnan(x), x).otherwise(F.round(x))
     n = step[0]
+    x = F.when(F.abs(x) == float("inf"), F.lit(float("nan"))).otherwise(x)
     # the multiple is rounded to the digits of the step, so that 0.1 x 3 is 0.3
     digits = F.greatest(F.lit(0), F.lit(1) - F.floor(F.log10(F.abs(n)))) + 6
     exact = F.round(_divide(x, n)) * n
@@ -269,36 +275,41 @@ def _json_path(f: str) -> list[str]:
 
 
 def unpack(p: ir.Unpack, fr: LogFrame) -> LogFrame:
+    """Fields that are named are set, to nothing if the source lacks them; fields that a wildcard matches only where they are.
+
+    Text that isn't a JSON object leaves its row as it was.
+    """
     s = fr.text(p.source)
     named = [f for f in p.of if not f.endswith("*")]
+    applies = s.startswith("{") if p.kind == "json" else F.lit(True)
+    if p.iff is not None:
+        applies = applies & condition(p.iff, fr)
     if p.kind == "json" and len(named) == len(p.of):
-        return results(fr, p, {p.prefix + f: F.coalesce(*[F.get_json_object(s, x) for x in _json_path(f)]) for f in named})
-    if p.kind == "json":
-        fn = udfs.flat_json
-    elif p.kind == "logfmt":
-        fn = udfs.logfmt
-    else:
-        import time
-
-        year, off = time.gmtime().tm_year, p.offset or 0
+        return set_unpacked(fr, p, {f: (F.coalesce(*[F.get_json_object(s, x) for x in _json_path(f)]), applies) for f in named})
+    year, off = time.gmtime().tm_year, p.offset or 0
+    parse = {"json": udfs.flat_json, "logfmt": udfs.logfmt, "syslog": lambda x: udfs.syslog(x, year, off)}[p.kind]
+    held = put(fr, {"__unpacked": udfs.each(parse, udfs.MAP)(s), "__applies": applies})
+    m, names = F.col("__unpacked"), {f: F.col("__applies") for f in named}
+    if len(named) < len(p.of):
+        for k in discovered(held.with_df(held.df.where("__applies")), "__unpacked"):
+            if k not in names and any(f == ir.ALL or f.endswith("*") and k.startswith(f[:-1]) for f in p.of):
+                names[k] = F.col("__applies") & F.coalesce(F.map_contains_key(m, k), F.lit(False))
+    out = set_unpacked(held, p, {f: (F.try_element_at(m, F.lit(f)), where) for f, where in names.items()})
+    return out.with_df(out.df.drop("__unpacked", "__applies"))
 
-        def fn(x):
-            return udfs.syslog(x, year, off)
 
-    held = put(fr, {"__unpacked": udfs.each(fn, udfs.MAP)(s)})
-    if len(named) < len(p.of):
-        source = held if p.iff is None else held.with_df(held.df.where(condition(p.iff, held)))
-        keys = discovered(source, "__unpacked")
-        names = [k for k in keys if any(k.startswith(f[:-1]) if f.endswith("*") else k == f for f in p.of)]
-    else:
-        names = named
-    out = results(held, p, {p.prefix + f: F.try_element_at("__unpacked", F.lit(f)) for f in names}) if names else held
-    if names and not (p.keep or p.skip_empty):
-        # a row that doesn't hold a field leaves what was there
-        fix = {p.prefix + f: F.when(F.coalesce(F.map_contains_key(F.col("__unpacked"), f), F.lit(False)), out.col(p.prefix + f)).otherwise(held.text(p.prefix + f)) for f in names if held.has(p.prefix + f)}
-        if fix:
-            out = put(held, {**{p.prefix + f: chosen(held, p.iff, p.prefix + f, F.coalesce(F.try_element_at("__unpacked", F.lit(f)), held.text(p.prefix + f))) for f in names}})
-    return out.with_df(out.df.drop("__unpacked"))
+def set_unpacked(fr: LogFrame, p: ir.Unpack, new: dict[str, tuple[Column, Column]]) -> LogFrame:
+    """new: by field its text and where it is set."""
+    out = {}
+    for f, (x, where) in new.items():
+        f = p.prefix + f
+        old, x = fr.text(f), F.coalesce(x, F.lit(""))
+        if p.keep:
+            x = F.when(old != "", old).otherwise(x)
+        elif p.skip_empty:
+            x = F.when(x != "", x).otherwise(old)
+        out[f] = F.when(where, x).otherwise(old)
+    return put(fr, out) if out else fr
 
 
 def discovered(fr: LogFrame, column: str) -> list[str]:
@@ -321,7 +332,7 @@ def unroll(p: ir.Unroll, fr: LogFrame) -> LogFrame:
         t = fr.type(f)
         if isinstance(t, T.ArrayType):
             return F.transform(fr.col(f), lambda x: values.as_str(x, t.elementType))
-        return F.when(fr.text(f).startswith("["), F.from_json(fr.text(f), "array<string>"))
+        return F.when(fr.text(f).startswith("["), F.transform(F.from_json(fr.text(f), "array<string>"), lambda x: F.coalesce(x, F.lit("null"))))
 
     lists = [F.coalesce(items(f), F.array().cast("array<string>")) for f in p.of]
     if p.iff is not None:

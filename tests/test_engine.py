@@ -120,7 +120,7 @@ def test_nan_of_native_columns_matches_nothing(spark):
         ("copy z as a", [{"a": "1", "b": "2"}], [{"b": "2"}]),
         ("drop_empty_fields", [{"a": "", "b": "2"}, {"a": "", "b": None}], [{"b": "2"}]),
         ("field_names", [{"a": "1", "b": ""}, {"a": "2", "b": "x"}], [{"name": "a", "hits": "2"}, {"name": "b", "hits": "1"}]),
-        ("pack_json as j | fields j", [{"b": 'x"y', "a": "1", "c": ""}], [{"j": '{"a":"1","b":"x\\"y"}'}]),
+        ("pack_json as j | fields j", [{"b": 'x"y', "a": "1", "c": ""}], [{"j": '{"b":"x\\"y","a":"1"}'}]),
         ("pack_logfmt fields (a, b) as j | fields j", [{"a": "1", "b": "x y"}], [{"j": 'a=1 b="x y"'}]),
         ('extract "ip=<ip> " from a', [{"a": "foo ip=1.2.3.4 bar"}, {"a": "none", "ip": "old"}], [{"a": "foo ip=1.2.3.4 bar", "ip": "1.2.3.4"}, {"a": "none"}]),
         ('extract "<x>=<y>,<_>;<z>" from a', [{"a": 'k="v,1",rest;end'}], [{"a": 'k="v,1",rest;end', "x": "k", "y": "v,1", "z": "end"}]),
@@ -145,7 +145,11 @@ def test_nan_of_native_columns_matches_nothing(spark):
         ("len(x) as n", [{"x": "é1"}], [{"x": "é1", "n": "3"}]),
         ("json_array_len(x) as n", [{"x": "[1,[2,3]]"}, {"x": "foo"}], [{"x": "[1,[2,3]]", "n": "2"}, {"x": "foo", "n": "0"}]),
         ("hash(x) as n | fields n", [{"x": "abc"}], [{"n": str(0x44BC2CF5AD770999 & ((1 << 53) - 1))}]),
-        ("unpack_json from x fields (a, b.c)", [{"x": '{"a":1,"b":{"c":[1,"q"]}}'}, {"x": "bad", "a": "old"}], [{"x": '{"a":1,"b":{"c":[1,"q"]}}', "a": "1", "b.c": '[1,"q"]'}, {"x": "bad"}]),
+        ("unpack_json from x fields (a, b.c)", [{"x": '{"a":1,"b":{"c":[1,"q"]}}'}, {"x": "bad", "a": "old"}], [{"x": '{"a":1,"b":{"c":[1,"q"]}}', "a": "1", "b.c": '[1,"q"]'}, {"x": "bad", "a": "old"}]),
+        ("unpack_json from x fields (a, b)", [{"x": '{"a":1}', "b": "old"}], [{"x": '{"a":1}', "a": "1"}]),
+        ("unpack_json from x fields (a, b) skip_empty_results", [{"x": '{"a":1}', "b": "old"}], [{"x": '{"a":1}', "a": "1", "b": "old"}]),
+        ("unpack_json from x keep_original_fields", [{"x": '{"a":1,"b":2}', "b": "old"}], [{"x": '{"a":1,"b":2}', "a": "1", "b": "old"}]),
+        ("unpack_json if (c:y) from x fields (a, n*)", [{"x": '{"a":1,"n1":2}', "c": "y", "n1": "o"}, {"x": '{"a":1,"n1":2}', "n1": "o"}], [{"x": '{"a":1,"n1":2}', "c": "y", "a": "1", "n1": "2"}, {"x": '{"a":1,"n1":2}', "n1": "o"}]),
         ("unpack_json from x result_prefix p.", [{"x": '{"a":1.50,"b":{"c":true,"d":null}}'}, {"x": "bad"}], [{"x": '{"a":1.50,"b":{"c":true,"d":null}}', "p.a": "1.50", "p.b.c": "true"}, {"x": "bad"}]),
         ("unpack_logfmt from x", [{"x": 'a=1 b="c d" e'}], [{"x": 'a=1 b="c d" e', "a": "1", "b": "c d"}]),
         ("unpack_syslog from x fields (app_name, proc_id, sd@1.k, message, level) | delete x", [{"x": '<165>1 2023-06-03T17:42:32.123Z host app 99 ID [sd@1 k="v\\"1"] hi'}, {"x": "<38>Jun  3 12:08:33 abcd systemd[1]: Starting"}], [{"app_name": "app", "proc_id": "99", "sd@1.k": 'v"1', "message": "hi", "level": "notice"}, {"app_name": "systemd", "proc_id": "1", "message": "Starting", "level": "info"}]),
@@ -158,7 +162,7 @@ def test_nan_of_native_columns_matches_nothing(spark):
         ("uniq by (a) with hits", [{"a": "1"}, {"a": "1"}, {"a": ""}, {"b": "x"}], [{"a": "1", "hits": "2"}, {"hits": "2"}]),
         ("uniq by (a) with hits limit 1 | fields hits", [{"a": "1"}, {"a": "1"}, {"a": "2"}], [{"hits": "0"}]),
         ("top 2 by (a) rank", [{"a": x} for x in "bbaac"], [{"a": "a", "hits": "2", "rank": "1"}, {"a": "b", "hits": "2", "rank": "2"}]),
-        ("facets 1", [{"a": "x", "c": "k"}, {"a": "x", "c": "k"}, {"a": "y", "c": "k"}, {"b": "z" * 200}, {"b": "q"}], [{"field_name": "a", "field_value": "x", "hits": "2"}]),
+        ("facets 1", [{"a": "x", "c": "k"}, {"a": "x", "c": "k"}, {"a": "y", "c": "k"}, {"b": "z" * 200}, {"b": "q"}], [{"field_name": "a", "field_value": "x", "hits": "2"}, {"field_name": "c", "field_value": "k", "hits": "3"}]),
         ("field_values a", [{"a": "1"}, {"a": "1"}], [{"a": "1", "hits": "2"}]),
         ("stats by (b) count() n, count(a) na, count_empty(a) ea, count_uniq(a) ua", [{"a": "1", "b": "x"}, {"a": "", "b": "x"}, {"a": "1"}], [{"b": "x", "n": "2", "na": "1", "ea": "1", "ua": "1"}, {"n": "1", "na": "1", "ea": "0", "ua": "1"}]),
         ("stats sum(a) s, avg(a, b) v, min(a) lo, max(a) hi, sum_len(a) l", [{"a": "10", "b": "x"}, {"a": "9"}, {"a": "1KB", "b": "1"}], [{"s": "1019.0", "v": "255.0", "lo": "9", "hi": "1KB", "l": "6"}]),

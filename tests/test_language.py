@@ -40,7 +40,9 @@ NOW = 1_706_745_600_000_000  # 2024-02-01
         ("* | error", "* | filter error"),
         ("* | order by (a desc, b) desc limit 3", "* | sort by (a desc, b) desc limit 3"),
         ("* | top by (hits)", "* | top 10 by (hits) hits as hitss"),
-        ("* | eval a + b * 2 ^ 3 as c", "* | math (a + (b * (2 ^ 3))) as c"),
+        ("* | eval (a - (b - c)) * -(d + 1) default '2024-01-02T03:04:05Z'", '* | math (a - (b - c)) * -(d + 1) default "2024-01-02T03:04:05Z" as "(a - (b - c)) * -(d + 1) default \\"2024-01-02T03:04:05Z\\""'),
+        ("* | count(*)", '* | stats count() as "count(*)"'),
+        ("* | eval a + b * 2 ^ 3 as c", "* | math a + b * 2 ^ 3 as c"),
         ("* | rm a, b* | cp c d | mv e as f", "* | delete a, b* | copy c as d | rename e as f"),
         ("options(ignore_global_time_filter=true) foo", "options(ignore_global_time_filter=true) foo"),
     ],
