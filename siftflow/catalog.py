@@ -202,6 +202,8 @@ q("stats_numbers", "lineitem", "* | stats by (l_linestatus) sum(l_quantity) s, a
   "SELECT l_linestatus, sum(l_quantity) AS s, avg(l_extendedprice) AS a, min(l_tax) AS lo, max(l_extendedprice) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS i, (sum(l_tax) + sum(l_discount)) / (2 * count(*)) AS two FROM lineitem GROUP BY 1")
 q("stats_quantile", "events", "* | stats by (event_type) quantile(0.9, value) p90, median(value) mid, quantile(0, value) lo, quantile(1, value) hi",
   "SELECT event_type, list_sort(list(value))[CAST(floor(0.9 * count(*)) AS BIGINT) + 1] AS p90, list_sort(list(value))[CAST(floor(0.5 * count(*)) AS BIGINT) + 1] AS mid, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
+q("stats_quantile_text", "part", "* | stats by (p_size:10) quantile(0.3, p_brand) q, median(p_brand) m",
+  "SELECT CAST(p_size // 10 * 10 AS BIGINT) AS p_size, list(p_brand ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT))[CAST(floor(0.3 * count(*)) AS BIGINT) + 1] AS q, list(p_brand ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS INT))[CAST(floor(0.5 * count(*)) AS BIGINT) + 1] AS m FROM part GROUP BY 1")
 q("stats_histogram", "events", "* | stats by (event_type) histogram(value) h | unroll by (h) | unpack_json from h fields (hits) | math hits + 0 as hits | stats by (event_type) sum(hits) n", "SELECT event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1")
 q("stats_rate", "events", "_time:[2024-01-01, 2024-01-11) | stats by (event_type) rate() r, rate_sum(value) rs", "SELECT event_type, count(*) / 864000.0 AS r, sum(value) / 864000.0 AS rs FROM events WHERE ts < '2024-01-11' GROUP BY 1")
 q("stats_rows", "events", "* | stats by (event_type) row_min(value, event_id) lo, row_max(value, event_id, user_id) hi, sum_len(event_type) l",
@@ -211,8 +213,8 @@ q("stats_uniq_values", "orders", "* | stats by (o_orderstatus) uniq_values(_msg)
   """SELECT o_orderstatus, '["' || array_to_string(list_sort(list(DISTINCT o_orderpriority)), '","') || '"]' AS v, '["' || array_to_string(list_sort(list(DISTINCT o_orderpriority))[1:2], '","') || '"]' AS w FROM orders GROUP BY 1""")
 q("stats_values", "conversations", "* | stats by (role) values(turn) v, json_values(role) j | json_array_len(v) as n | json_array_len(j) as m | fields role, n, m", "SELECT role, count(*) AS n, count(*) AS m FROM conversations GROUP BY 1")
 q("stats_min_max_text", "part", "* | stats min(p_brand) lo, max(p_brand) hi, min(_time) none", "SELECT arg_min(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS lo, arg_max(p_brand, CAST(regexp_extract(p_brand, '[0-9]+') AS INT)) AS hi, '' AS none FROM part")
-q("stats_default_names", "events", "* | count(), sum(value)", 'SELECT count(*) AS "count()", sum(value) AS "sum(value)" FROM events')
-q("stats_empty_input", "events", "event_type:=none | stats count() n, sum(value) s", "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS s")
+q("stats_default_names", "events", "* | count(), sum(value)", 'SELECT count(*) AS "count(*)", sum(value) AS "sum(value)" FROM events')
+q("stats_empty_input", "events", "event_type:=none | stats count() n, sum(value) s", "SELECT CAST(0 AS BIGINT) AS n, CAST('NaN' AS DOUBLE) AS s")
 q("stats_bucket_hour", "events", "* | stats by (_time:6h offset 1h, event_type) count() n", "SELECT time_bucket(INTERVAL 6 hour, ts, TIMESTAMP '2024-01-01 01:00:00') AS _time, event_type, count(*) AS n FROM events GROUP BY ALL")
 q("stats_bucket_week", "events", "* | stats by (_time:week) count() n", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS _time, count(*) AS n FROM events GROUP BY 1")
 q("stats_bucket_1w", "events", "* | stats by (_time:1w) count() n", "SELECT time_bucket(INTERVAL 7 day, ts, TIMESTAMP '1970-01-01 00:00:00') AS _time, count(*) AS n FROM events GROUP BY 1")

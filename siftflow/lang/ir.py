@@ -610,7 +610,7 @@ class StatsFunc:
     phi: float = 0.5
 
     def call(self) -> str:
-        args = ([number(self.phi)] if self.kind == "quantile" else []) + ([] if self.args == (ALL,) and self.kind not in ("row_min", "row_max") else [name(a) for a in self.args])
+        args = ([number(self.phi)] if self.kind == "quantile" else []) + ([] if self.args == (ALL,) and self.kind in ("quantile", "rate") else [name(a) for a in self.args])
         return f"{self.kind}({', '.join(args)})" + (f" limit {self.limit}" if self.limit else "")
 
     def __str__(self):

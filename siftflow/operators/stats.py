@@ -139,44 +139,84 @@ def _numbers(f, fr, only) -> tuple[Column, Column]:
 
 
 def sum_(f, fr, only) -> Column:
-    """Missing if no value is a number."""
+    """NaN if no value is a number; missing if the columns are integral, which have no NaN."""
     total, n = _numbers(f, fr, only)
-    return F.when(n > 0, total)
+    whole = all(isinstance(fr.type(x), values.INTEGRAL) for x in _typed(f, fr))
+    return F.when(n > 0, total) if whole else F.when(n > 0, total).otherwise(F.lit(float("nan")))
 
 
 def avg(f, fr, only) -> Column:
     total, n = _numbers(f, fr, only)
-    return F.when(n > 0, total / F.when(n > 0, n))
+    return F.when(n > 0, total / F.when(n > 0, n)).otherwise(F.lit(float("nan")))
+
+
+def _counts_empty(f) -> bool:
+    """A field that is named counts where it is missing; one that a wildcard finds counts where it is."""
+    return not any(a.endswith("*") for a in f.args)
 
 
 def _extreme(f, fr, only, low: bool) -> Column:
-    """Empty values are the smallest. Text compares in natural order; the value itself is returned."""
+    """Empty values of named fields are the smallest. Text compares in natural order; the value itself is returned."""
     names = _typed(f, fr)
     kinds = {type(fr.type(n)) for n in names}
     pick, both = (F.min, F.least) if low else (F.max, F.greatest)
     if len(kinds) == 1 and not kinds & {T.StringType, T.NullType}:
         found = [pick(only(fr.col(n))) for n in names]
         best = found[0] if len(found) == 1 else both(*found)
-        if low:
+        if low and _counts_empty(f):
             empty = [F.count(only(F.when(~fr.filled(n), 1))) > 0 for n in names]
             return F.when(~any_of(empty), best)
         return best
-    found = [pick(only(F.struct(values.sort_key(F.when(fr.text(n) != "", fr.text(n)), T.StringType()).alias("k"), fr.text(n).alias("v")))) for n in names]
+    rows = [F.struct(values.sort_key(F.when(fr.text(n) != "", fr.text(n)), T.StringType()).alias("k"), fr.text(n).alias("v")) for n in names]
+    rows = rows if _counts_empty(f) else [F.when(fr.filled(n), r) for n, r in zip(names, rows)]
+    found = [pick(only(r)) for r in rows]
     return (found[0] if len(found) == 1 else both(*found))["v"]
 
 
-def quantile(f, fr, only) -> Column:
-    """The value at int(phi x n) in order. Only numbers count; several fields are taken together only if they are one."""
+def sketched(f, fr) -> bool:
+    """Whether a quantile is one of a numeric column, for which Spark has a mergeable sketch."""
     names = _typed(f, fr)
-    if len(names) != 1:
-        raise QueryError("quantile takes one field")
-    n, t = names[0], fr.type(names[0])
-    v = only(fr.col(n) if values.is_numeric(t) or values.is_time(t) else fr.number(n))
-    return F.percentile_approx(v, min(1.0, f.phi + 1e-9), ACCURACY)
+    return len(names) == 1 and (values.is_numeric(fr.type(names[0])) or values.is_time(fr.type(names[0])))
+
+
+def quantile(f, fr, only) -> Column:
+    """The value at int(phi x n) in order; missing values of a named field are the smallest."""
+    n, t = _typed(f, fr)[0], fr.type(_typed(f, fr)[0])
+    p = min(1.0, f.phi + 1e-9)
+    if values.is_time(t) or not _counts_empty(f):
+        return F.percentile_approx(only(fr.col(n)), p, ACCURACY)
+    least = F.lit(-(1 << 63)).cast("long") if isinstance(t, values.INTEGRAL) else F.lit(float("-inf"))
+    q = F.percentile_approx(only(F.coalesce(fr.col(n).cast(least_type(t)), least)), p, ACCURACY)
+    return F.when(q != least, q)
+
+
+def least_type(t: T.DataType) -> str:
+    return "long" if isinstance(t, values.INTEGRAL) else "double"
+
+
+#: Text quantiles are exact up to so many values a group, and those of about so many sampled ones beyond.
+SAMPLED = 10_000
+
+
+def text_quantile(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]):
+    """The quantile of text, or of several fields together, in natural order.
+
+    A count per group tells which share of its values to keep, drawn with a fixed seed, so the lists that are sorted stay bounded.
+    """
+    only, names = _only(keyed, f), _typed(f, keyed)
+    every = F.array(*[only(keyed.text(n) if _counts_empty(f) else F.when(keyed.filled(n), keyed.text(n))) for n in names])
+    rows = keyed.df.select(*keys, F.posexplode(every).alias("i", "v")).where("v IS NOT NULL")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*[F.col(k).alias(f"{k}n") for k in keys], "n", F.lit(1).alias("one"))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}n")) for k in keys] or [F.lit(1) == F.col("one")]
+    kept = rows.withColumn("u", F.rand(7)).join(counts, on).where((F.col("n") <= 2 * SAMPLED) | (F.col("u") < F.lit(SAMPLED) / F.col("n")))
+    order = F.array_sort(F.collect_list(F.struct(values.sort_key(F.when(F.col("v") != "", F.col("v")), T.StringType()).alias("k"), F.col("v").alias("v"))))
+    lists = kept.groupBy(*keys).agg(order.alias("o"))
+    at = F.least(F.floor(F.size("o") * F.lit(f.phi)), F.size("o") - 1).cast("int")
+    return lists.select(*keys, F.get("o", at)["v"].alias("__h"))
 
 
 def row_any(f, fr, only) -> Column:
-    return F.first(only(fr.row_json(f.args)), ignorenulls=True)
+    return F.coalesce(F.first(only(fr.row_json(f.args)), ignorenulls=True), F.lit("{}"))
 
 
 def _row_extreme(f, fr, only, low: bool) -> Column:
@@ -184,7 +224,7 @@ def _row_extreme(f, fr, only, low: bool) -> Column:
     k = only(F.when(fr.filled(key), fr.order(key)))
     # of rows with equal keys the smallest text, so that the result doesn't depend on their order
     row = fr.row_json(out)
-    return (F.min if low else F.max)(F.when(k.isNotNull(), F.struct(k.alias("k"), row.alias("r"))))["r"]
+    return F.coalesce((F.min if low else F.max)(F.when(k.isNotNull(), F.struct(k.alias("k"), row.alias("r"))))["r"], F.lit("{}"))
 
 
 def sum_len(f, fr, only) -> Column:
@@ -271,18 +311,25 @@ def stats(p: ir.Stats, fr: LogFrame, step_s: float | None = None) -> LogFrame:
     if not step_s:  # a rate is per second of the bucket of time, if there is one
         step_s = next((s for k in p.by if k.field == ir.TIME and k.bucket and (s := bucket_seconds(k.bucket))), None)
     keys = {f"__g{i}": bucketed(k, fr) for i, k in enumerate(p.by)}
-    own = [f for f in p.funcs if f.kind != "histogram"]
+    def apart(f: ir.StatsFunc):
+        """What makes a function that needs an aggregation of its own, and its value where there is nothing."""
+        if f.kind == "histogram":
+            return histogram, "[]"
+        return (text_quantile, "") if f.kind in ("quantile", "median") and not sketched(f, fr) else None
+
+    own = [f for f in p.funcs if not apart(f)]
     base = fr.with_df(fr.df.withColumns(keys)) if keys else fr
     df = base.df.groupBy(*keys).agg(*([column(f, fr, step_s).alias(f.result) for f in own] or [F.count(F.lit(1)).alias("__n")]))
     for i, f in enumerate(p.funcs):
-        if f.kind == "histogram":
-            h = histogram(f, base, list(keys))
+        if apart(f):
+            make, nothing = apart(f)
+            h = make(f, base, list(keys))
             if keys:
                 h = h.select(*[F.col(k).alias(f"{k}h") for k in keys], F.col("__h").alias(f"__h{i}"))
                 df = df.join(h, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys], "left").drop(*[f"{k}h" for k in keys])
             else:
                 df = df.withColumn("__one", F.lit(1)).join(h.select(F.lit(1).alias("__one"), F.col("__h").alias(f"__h{i}")), "__one", "left").drop("__one")
-            df = df.withColumn(f.result, F.coalesce(F.col(f"__h{i}"), F.lit("[]")))
+            df = df.withColumn(f.result, F.coalesce(F.col(f"__h{i}"), F.lit(nothing)))
     return fr.with_df(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c(f.result) for f in p.funcs]))
 
 

@@ -35,13 +35,13 @@ NOW = 1_706_745_600_000_000  # 2024-02-01
         ("_stream:{a=b}", '{a="b"}'),
         ("foo # comment\n bar", "foo bar"),
         ("* | head", "* | limit 10"),
-        ("* | count() if (x:y) hits", "* | stats count() if (x:y) as hits"),
+        ("* | count() if (x:y) hits", "* | stats count(*) if (x:y) as hits"),
         ("* | by (a) max(b)", '* | stats by (a) max(b) as "max(b)"'),
         ("* | error", "* | filter error"),
         ("* | order by (a desc, b) desc limit 3", "* | sort by (a desc, b) desc limit 3"),
         ("* | top by (hits)", "* | top 10 by (hits) hits as hitss"),
         ("* | eval (a - (b - c)) * -(d + 1) default '2024-01-02T03:04:05Z'", '* | math (a - (b - c)) * -(d + 1) default "2024-01-02T03:04:05Z" as "(a - (b - c)) * -(d + 1) default \\"2024-01-02T03:04:05Z\\""'),
-        ("* | count(*)", '* | stats count() as "count(*)"'),
+        ("* | count()", '* | stats count(*) as "count(*)"'),
         ("* | eval a + b * 2 ^ 3 as c", "* | math a + b * 2 ^ 3 as c"),
         ("* | rm a, b* | cp c d | mv e as f", "* | delete a, b* | copy c as d | rename e as f"),
         ("options(ignore_global_time_filter=true) foo", "options(ignore_global_time_filter=true) foo"),
@@ -146,7 +146,7 @@ def test_tail_and_range_rules():
     for p in ("count()", "sort by (a)", "limit 3", "top by (a)", "uniq by (a)", "facets", "union (b)", "offset 1", "first", "field_names"):
         assert rewrite.can_tail(parse(f"a | {p}", NOW))
     r = rewrite.range_stats(parse("* | stats by (a) count() n | first 2 by (n) | filter n:>1", NOW), "5m")
-    assert str(r) == '* | stats by (a, _time:"5m") count() as n | sort by (n) partition by (_time) limit 2 | filter n:range(1, inf]'
+    assert str(r) == '* | stats by (a, _time:"5m") count(*) as n | sort by (n) partition by (_time) limit 2 | filter n:range(1, inf]'
     with pytest.raises(ValueError):
         rewrite.range_stats(parse("* | stats count() n | uniq by (n)", NOW), "5m")
     assert rewrite.rate_step(parse("_time:5m foo | rate()", NOW)) == 300.0
