@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,25 @@ CHUNK_WORDS = 1 << 21
 BLOCK = "chunk long, part int, kind int, payload binary"
 WORDS, IDS, PLACES = 0, 1, 2
 #: Texts with a character from here on go through the library's own normalizer and splitter; below, NFC changes nothing and str.lower() does what it does.
-PLAIN = re.compile(r"[^\u0000-\u02ff]")
+PLAIN = re.compile(r"[^\u0000-\u017f]")
 #: White space as the splitter sees it; Python's own \s would add \x1c to \x1f.
-GAP = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{GAP}\p{{L}}\p{{N}}]+"
+GAP = r"\t-\r \x85\xa0"
+
+
+def _plain_kind(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The splitter's pattern for plain texts. Its alternatives start with different characters, so the commonest may come first.
+PATTERN = re.compile(rf"[{_plain_kind('L')}]+|[{_plain_kind('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{GAP}{_plain_kind('L')}{_plain_kind('N')}]+")
+
+
+class Numbers(dict):
+    """The number of each word, in the order of their first places."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def tokenizer(path: str):
@@ -54,16 +69,13 @@ class Splitter:
     """The words of a text, so that their encodings one after the other are the text's."""
 
     def __init__(self, path: str):
-        import regex
-
         self.lib = tokenizer(path)
-        self.find = regex.compile(PATTERN).findall
         special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def plain(self, text: str) -> list[str]:
         if not PLAIN.search(text):
-            return self.find(text.lower())
+            return PATTERN.findall(text.lower())
         text = self.lib.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -97,7 +109,7 @@ def _split(path: str, buckets: int, chunk_words: int, kind: int):
 
     def run(batches):
         split, z = Splitter(path), zstandard.ZstdCompressor(3)
-        number, docs, lens, places, pieces = {}, [], [], [], 0
+        number, docs, lens, places, pieces = Numbers(), [], [], [], 0
 
         def flush():
             flat = np.concatenate(places) if places else np.zeros(0, np.int64)
@@ -134,12 +146,12 @@ def _split(path: str, buckets: int, chunk_words: int, kind: int):
                 words = split(text.as_py()) if text.is_valid else []
                 docs.append(doc)
                 lens.append(len(words))
-                places.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+                places.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 pieces += len(words)
                 if pieces >= chunk_words:
                     if (out := flush()) is not None:
                         yield out
-                    number, docs, lens, places, pieces = {}, [], [], [], 0
+                    number, docs, lens, places, pieces = Numbers(), [], [], [], 0
         if docs and (out := flush()) is not None:
             yield out
 

@@ -110,6 +110,14 @@ def test_bpe(spark):
     assert bpe.encode_decode(frame(spark, rows).limit(0), queries.vocabulary()).collect() == []
 
 
+def test_bpe_splits_every_plain_character_as_the_library():
+    s = bpe.Splitter(queries.vocabulary())
+    ids = lambda t: s.lib.encode(t, add_special_tokens=False).ids
+    for c in map(chr, [*range(1, 0x300), 0x3A3, 0x3C2, 0x1E9E, 0x2C65, 0x4E00, 0xAC00, 0x1F642]):
+        for t in (c, f"a{c}b", f"1{c}'s{c}!", c * 3, f"{c}\u0301"):
+            assert ids(t) == [i for w in s(t) for i in ids(w)], hex(ord(c))
+
+
 # ---------------------------------------------------------------- URLs
 
 
