@@ -140,7 +140,7 @@ def test_nan_of_native_columns_matches_nothing(spark):
         ('replace_regexp ("([0-9]+)-(?P<n>x)", "${2}<$1>") at x', [{"x": "12-x 3-x"}], [{"x": "x<12> x<3>"}]),
         ('replace_regexp ("[0-9]", "_") at x limit 2', [{"x": "123"}], [{"x": "__3"}]),
         ("collapse_nums at x", [{"x": "2024-01-02T10:20:30.123Z pid=77 deadbeef foo12 1a 12ms"}], [{"x": "<N>-<N>-<N>T<N>:<N>:<N>.<N>Z pid=<N> <N> foo12 1a <N>ms"}]),
-        ("collapse_nums at x prettify", [{"x": "2024-01-02T10:20:30.123Z 10.1.2.3 2edfed59-3e98-4073-bbb2-28d321ca71a7"}], [{"x": "<DATETIME> <IP4> <UUID>"}]),
+        ("collapse_nums at x prettify", [{"x": "2024-01-02T10:20:30.123Z 10.1.2.3 0a1b2c3d-1111-2222-3333-444455556666"}], [{"x": "<DATETIME> <IP4> <UUID>"}]),
         ("decolorize x", [{"x": "\x1b[1;31mred\x1b[0m"}], [{"x": "red"}]),
         ("len(x) as n", [{"x": "é1"}], [{"x": "é1", "n": "3"}]),
         ("json_array_len(x) as n", [{"x": "[1,[2,3]]"}, {"x": "foo"}], [{"x": "[1,[2,3]]", "n": "2"}, {"x": "foo", "n": "0"}]),
@@ -152,7 +152,7 @@ def test_nan_of_native_columns_matches_nothing(spark):
         ("unpack_json if (c:y) from x fields (a, n*)", [{"x": '{"a":1,"n1":2}', "c": "y", "n1": "o"}, {"x": '{"a":1,"n1":2}', "n1": "o"}], [{"x": '{"a":1,"n1":2}', "c": "y", "a": "1", "n1": "2"}, {"x": '{"a":1,"n1":2}', "n1": "o"}]),
         ("unpack_json from x result_prefix p.", [{"x": '{"a":1.50,"b":{"c":true,"d":null}}'}, {"x": "bad"}], [{"x": '{"a":1.50,"b":{"c":true,"d":null}}', "p.a": "1.50", "p.b.c": "true"}, {"x": "bad"}]),
         ("unpack_logfmt from x", [{"x": 'a=1 b="c d" e'}], [{"x": 'a=1 b="c d" e', "a": "1", "b": "c d"}]),
-        ("unpack_syslog from x fields (app_name, proc_id, sd@1.k, message, level) | delete x", [{"x": '<165>1 2023-06-03T17:42:32.123Z host app 99 ID [sd@1 k="v\\"1"] hi'}, {"x": "<38>Jun  3 12:08:33 abcd systemd[1]: Starting"}], [{"app_name": "app", "proc_id": "99", "sd@1.k": 'v"1', "message": "hi", "level": "notice"}, {"app_name": "systemd", "proc_id": "1", "message": "Starting", "level": "info"}]),
+        ("unpack_syslog from x fields (app_name, proc_id, sd@1.k, message, level) | delete x", [{"x": '<165>1 2021-02-03T04:05:06.7Z box tool 99 M1 [sd@1 k="v\\"1"] hi'}, {"x": "<38>Nov  9 01:02:03 box loader[1]: Begins"}], [{"app_name": "tool", "proc_id": "99", "sd@1.k": 'v"1', "message": "hi", "level": "notice"}, {"app_name": "loader", "proc_id": "1", "message": "Begins", "level": "info"}]),
         ("unpack_words from x as y drop_duplicates | fields y", [{"x": "foo,bar foo тест_1"}], [{"y": '["foo","bar","тест_1"]'}]),
         ("unroll by (a, b)", [{"a": "[1,2]", "b": '["x"]', "c": "q"}, {"a": "bad", "b": "", "c": "r"}], [{"a": "1", "b": "x", "c": "q"}, {"a": "2", "c": "q"}, {"c": "r"}]),
         ("sort by (a) | limit 2", [{"a": "10"}, {"a": "9"}, {"a": "x10"}, {"a": "x9"}], [{"a": "9"}, {"a": "10"}]),

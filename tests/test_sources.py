@@ -95,8 +95,8 @@ def test_otel(spark):
 
 
 def test_syslog(spark):
-    rows = got(formats.syslog(lines(spark, "<165>1 2023-06-03T17:42:32.123Z host app 99 - - hi there", "<13>Jan  2 03:04:05 h2 cron[7]: job", ""), year=2024))
-    assert [(r["_time"], r["_msg"], r["_stream"]) for r in rows] == [("2023-06-03T17:42:32.123000", "hi there", '{app_name="app",hostname="host",proc_id="99"}'), ("2024-01-02T03:04:05", "job", '{app_name="cron",hostname="h2",proc_id="7"}')]
+    rows = got(formats.syslog(lines(spark, "<165>1 2021-02-03T04:05:06.7Z box tool 99 - - hi there", "<13>Jan  2 03:04:05 h2 cron[7]: job", ""), year=2024))
+    assert [(r["_time"], r["_msg"], r["_stream"]) for r in rows] == [("2021-02-03T04:05:06.700000", "hi there", '{app_name="tool",hostname="box",proc_id="99"}'), ("2024-01-02T03:04:05", "job", '{app_name="cron",hostname="h2",proc_id="7"}')]
 
 
 def test_journald(spark):
