@@ -317,3 +317,20 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, SF)
         assert kept.columns == df.columns
+
+
+def test_stages_on_odd_documents(spark):
+    import corpus_pipeline
+
+    rows = [*ODD, (901, ""), (901, ""), (1, "plain words that make a text of some length and no more than that"), (1, "plain words that make a text of some length and no more than that"), (2, "plain words that make a text of some length and no more than that")]
+    docs = spark.createDataFrame([(d, t, None, None, None, 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, count long, component_id string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+        assert got <= Counter(rows), name
+        if name in ("exact dedup", "SimHash near-dedup"):
+            assert got[1, rows[-1][1]] == 2 and not got[2, rows[-1][1]], name  # rows with the id that stays all stay
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, SF).count() == len(rows) and last(spark, docs.limit(0), SF).collect() == []
