@@ -680,14 +680,17 @@ class Query:
         return opts + " | ".join([str(self.filter), *map(str, self.pipes)])
 
 
-PIPE_WORDS = {
-    "fields", "keep", "delete", "del", "rm", "drop", "copy", "cp", "rename", "mv", "drop_empty_fields", "field_names", "pack_json", "pack_logfmt", "filter", "where", "extract",
-    "extract_regexp", "format", "math", "eval", "replace", "replace_regexp", "collapse_nums", "decolorize", "hash", "len", "json_array_len", "unpack_json", "unpack_logfmt",
-    "unpack_syslog", "unpack_words", "unroll", "sample", "sort", "order", "first", "last", "limit", "head", "offset", "skip", "uniq", "top", "facets", "field_values", "stats", "join",
-    "union", "stream_context", "block_stats", "blocks_count",
-}
-STATS_FUNCS = {
-    "count", "count_empty", "count_uniq", "count_uniq_hash", "sum", "avg", "min", "max", "median", "quantile", "histogram", "rate", "rate_sum", "row_any", "row_min", "row_max",
-    "sum_len", "uniq_values", "values", "json_values",
-}
-PIPE_WORDS |= STATS_FUNCS
+#: Words that start a pipe, and stats functions, which may start one too.
+STATS_FUNCS = set(
+    """
+avg count count_empty count_uniq count_uniq_hash histogram json_values max median min quantile rate rate_sum row_any row_max row_min sum sum_len
+uniq_values values
+""".split()
+)
+PIPE_WORDS = STATS_FUNCS | set(
+    """
+block_stats blocks_count collapse_nums copy cp decolorize del delete drop drop_empty_fields eval extract extract_regexp facets field_names
+field_values fields filter first format hash head join json_array_len keep last len limit math mv offset order pack_json pack_logfmt rename replace
+replace_regexp rm sample skip sort stats stream_context top union uniq unpack_json unpack_logfmt unpack_syslog unpack_words unroll where
+""".split()
+)

@@ -284,7 +284,7 @@ def column(f: ir.StatsFunc, fr: LogFrame, step_s: float | None) -> Column:
     return FUNCTIONS[f.kind](f, fr, only)
 
 
-def vmrange(v: Column) -> Column:
+def bucket_text(v: Column) -> Column:
     """The text of the logarithmic bucket of a number."""
     i = F.floor(F.log10(v) * PER_DECADE)
 
@@ -301,7 +301,7 @@ def vmrange(v: Column) -> Column:
 def histogram(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]):
     """Hits per bucket, first by group and bucket, then as JSON per group; a group has at most a few hundred buckets."""
     v = _only(keyed, f)(keyed.number(f.args[0]))
-    rows = keyed.df.select(*keys, v.alias("__v")).where(F.col("__v") >= 0).select(*keys, vmrange(F.col("__v")).alias("vmrange"), F.floor(F.log10(F.when(F.col("__v") > 0, F.col("__v"))) * PER_DECADE).alias("i"))
+    rows = keyed.df.select(*keys, v.alias("__v")).where(F.col("__v") >= 0).select(*keys, bucket_text(F.col("__v")).alias("vmrange"), F.floor(F.log10(F.when(F.col("__v") > 0, F.col("__v"))) * PER_DECADE).alias("i"))
     hits = rows.groupBy(*keys, "vmrange", "i").agg(F.count("*").alias("hits"))
     return hits.groupBy(*keys).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("i", "vmrange", "hits"))), lambda x: F.struct(x["vmrange"].alias("vmrange"), x["hits"].alias("hits")))).alias("__h"))
 

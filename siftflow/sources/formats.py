@@ -122,7 +122,7 @@ def loki_protobuf(src, path: str | None = None, how: Ingest = Ingest()) -> DataF
 
 # ---------------------------------------------------------------- OpenTelemetry
 
-SEVERITIES = ["unspecified", *[f"{s}{n or ''}" for s in ("trace", "debug", "info", "warn", "error", "fatal") for n in ("", 2, 3, 4)]]
+SEVERITIES = ["unspecified", *[f"{s}{n or ''}" for s in "trace debug info warn error fatal".split() for n in ("", 2, 3, 4)]]
 
 
 def _any(b: bytes):
