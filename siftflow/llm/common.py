@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftflow.tables import forget, shared_dir, written  # noqa: F401
+from siftflow.tables import forget, written  # noqa: F401
 
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words once A-Z are lower-cased.
 ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftflow.llm.anchors import COMPARE, HOT, REPEATED, judged_runs, merged_spans
+from siftflow.llm.anchors import HOT, REPEATED, judged_runs, merged_spans
 from siftflow.llm.common import bucket_count
 
 #: Words of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.

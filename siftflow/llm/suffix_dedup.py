@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftflow.llm.anchors import HOT, REPEATED, judged_runs, merged_spans, mixed
+from siftflow.llm.anchors import HOT, LOW, REPEATED, gram_hashes, judged_runs, merged_spans, mixed
 from siftflow.llm.common import bucket_count
 
 #: Bytes of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.
@@ -43,7 +43,6 @@ def byte_symbols(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _suffixes(width: int, k: int):
     """From (doc_id, text, runs) to suffixes. The anchor of a run is found again as the place its first and last window share."""
-    from siftflow.llm.anchors import LOW, gram_hashes
 
     def run(batches):
         for batch in batches:
