@@ -9,6 +9,8 @@ from siftflow.tables import forget, written  # noqa: F401
 
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words once A-Z are lower-cased.
 ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All characters that lower() may change: capitals, title case, Roman numerals, circled capitals, and those that the JVM doesn't know, as lower() may have a newer Unicode.
+CASED = r"\p{Lu}\p{Lt}\p{Nl}\x{24B6}-\x{24CF}\p{Cn}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,7 +27,7 @@ def bucket_count(docs: DataFrame) -> int:
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; the JVM's lower() is used where it does the same, as it is much faster."""
-    other = text.rlike(r"[\p{Lu}\p{Lt}&&[^A-Z]]")
+    other = text.rlike(rf"[[^\x00-\x7F]&&[{CASED}]]")
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftflow.llm import bpe, common, decontamination, exact_dedup, license_scan, line_dedup, quality, queries, simhash, url_filter
 
@@ -176,6 +177,21 @@ def test_decontamination(spark):
     assert decontamination.contamination(frame(spark, rows).limit(0), item_df).collect() == []
 
 
+def test_folding_changes_a_to_z_only(spark):
+    chars = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    texts = chars.select(F.concat("c", F.lit("AzZ")).alias("t"))
+    assert texts.where(common.ascii_lower(F.col("t")) != F.translate("t", common.UPPER, common.LOWER)).collect() == []
+
+
+@pytest.mark.parametrize("odd", ["\u2163", "\u24b6", "\u2c2f"])  # a Roman numeral, a circled capital, a capital newer than the JVM's Unicode
+def test_decontamination_folds_a_word_alike_in_any_text(spark, odd):
+    passage = f"Chapter {odd} mundi"
+    items = spark.createDataFrame([(1, passage), (2, f"{passage} \u00c9")], "item_id long, text string")
+    rows = [(1, f"x {passage} \u00c9"), (2, f"x {passage} y"), (3, "x mundi \u00c9")]
+    got = decontamination.contamination(frame(spark, rows), items)
+    assert Counter((d, n, h, ",".join(i), c) for d, n, h, i, c in got.collect()) == Counter(brute_hits(rows, [(1, passage), (2, f"{passage} \u00c9")]))
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "rare " + "x " * 5 + "odd of"), (2, "rare " + "x " * 30 + "odd of"), (3, "x " * 17 + "odd x rare of"), (4, None)])
     items = spark.createDataFrame([(9, "odd rare")], "item_id long, text string")
