@@ -96,6 +96,7 @@ q("filter_contains_all", "documents", f"contains_all(Licensed, under, the) {DOCS
 q("filter_contains_any", "documents", f'contains_any("MIT License", "CC BY") {DOCS}', f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{B}MIT License{A}') OR regexp_matches(text, '{B}CC BY{A}')")
 q("filter_contains_any_subquery", "documents benchmark", "_table:=documents _msg:contains_any(_table:=benchmark item_id:<5 | rename text as _msg | fields _msg) | fields doc_id",
   "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE item_id < 5 AND contains(d.text, b.text))")
+q("filter_contains_any_subquery_whole", "documents benchmark", "_table:=documents _msg:contains_any(_table:=benchmark | rename text as _msg | fields _msg) | fields doc_id")
 q("filter_seq", "documents", f'seq(Licensed, under, "License") {DOCS}', f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?s){B}Licensed{A}(.*[^{W}])?under{A}(.*[^{W}])?License{A}')")
 q("filter_range", "lineitem", "l_quantity:range[10, 20) l_discount:range(0.02, 0.05] | stats count() n, sum(l_extendedprice) total",
   "SELECT count(*) AS n, sum(l_extendedprice) AS total FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount > 0.02 AND l_discount <= 0.05")

@@ -32,6 +32,18 @@ def has_phrase(s: Column, p: str) -> Column:
     return s.contains(p) & s.rlike(phrase_re(p)) if is_word(p[0]) or is_word(p[-1]) else s.contains(p)
 
 
+def has_phrase_of(s: Column, p: Column) -> Column:
+    """has_phrase() of a phrase that is a column."""
+    at = lambda edge, mark: F.when(p.rlike(edge), mark).otherwise("")
+    pattern = F.concat(at(r"^[\p{L}\p{N}_]", BEFORE), F.regexp_replace(p, r"([\\.\[\]{}()*+?^$|#&~\-/])", r"\\$1"), at(r"[\p{L}\p{N}_]\z", AFTER))
+    return F.when(p == "", s == "").otherwise(F.contains(s, p) & F.rlike(s, pattern))
+
+
+def distinct_words(s: Column) -> Column:
+    """A text that has a phrase has each of the phrase's words as a whole word."""
+    return F.array_remove(F.array_distinct(F.split(s, rf"[^{W}]+")), "")
+
+
 def has_prefix(s: Column, p: str) -> Column:
     if not p:
         return s != ""

@@ -6,7 +6,7 @@ from contextvars import ContextVar
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from siftflow.functions import text, values
 from siftflow.lang import ir, literals
 from siftflow.lang.lexer import QueryError
 
-#: Values of a subquery that contains_any and contains_all take into the plan; more are an error, not a slow query.
+#: Values of a subquery that contains_any and contains_all take into the plan; more are joined by their words, but in the if of a pipe or in stream_context, where they are an error.
 MAX_INLINE = 10_000
 
 
@@ -121,6 +121,28 @@ def members(f: ir.Members, frame: LogFrame, values_: list[str] | None = None) ->
     return any_of([text.has_phrase(s, v) for v in vals])
 
 
+def containing(texts: DataFrame, phrases: DataFrame, every: bool) -> DataFrame:
+    """The distinct rows of texts (__key) that have any, or every one, of the distinct phrases (v).
+
+    A phrase meets the texts that have its rarest word, by their hash, and is then looked for in them; those without a word meet all texts.
+    """
+    found = text.has_phrase_of(F.col("__key"), F.col("v"))
+    phrases = phrases.where("v != ''") if every else phrases
+    words = phrases.select("v", text.distinct_words(F.col("v")).alias("w"))
+    own = words.select("v", F.explode("w").alias("word"))
+    texts = texts.distinct()
+    places = texts.select(F.xxhash64("__key").alias("h"), F.explode(text.distinct_words(F.col("__key"))).alias("word")).join(own.select("word").distinct(), "word", "left_semi")
+    often = places.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = own.join(often, "word").groupBy("v").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    meet = places.join(rarest, "word").select("h", "v")
+    bare = words.where(F.size("w") == 0).select("v")
+    keyed = F.xxhash64("__key") == F.col("h")
+    if not every:
+        return texts.join(meet, keyed & found, "left_semi").union(texts.join(bare, found, "left_semi")).distinct()
+    pairs = texts.join(meet, keyed & found).select("__key", "v").union(texts.join(bare, found).select("__key", "v")).union(texts.select("__key", F.lit(None).cast("string")))
+    return pairs.groupBy("__key").agg(F.count("v").alias("n")).join(phrases.agg(F.count("*").alias("n")), "n", "left_semi").select("__key")
+
+
 def number_range(f: ir.Range, frame: LogFrame) -> Column:
     inf = float("inf")
     t = frame.type(f.field)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftflow.frame import LogFrame
 from siftflow.lang import ir
 from siftflow.lang.lexer import QueryError
 from siftflow.lang.parser import values_field
-from siftflow.operators import project, rowset, stats, transform
-from siftflow.operators.filters import MAX_INLINE, condition, keeping
+from siftflow.operators import filters, project, rowset, stats, transform
+from siftflow.operators.filters import condition, containing, keeping
 from siftflow.plans import rewrite
 
 OPERATORS = {
@@ -75,13 +78,34 @@ class Compiler:
 
     # ------------------------------------------------------------ subqueries
 
-    def values(self, q: ir.Query, limit: int = MAX_INLINE) -> list[str]:
-        """The values of a subquery, for the plan; too many are an error."""
+    def column(self, q: ir.Query) -> DataFrame:
+        """The distinct values of a subquery, as text."""
         fr, f = self.run(q), values_field(q)
-        rows = fr.df.select(fr.text(f).alias("v")).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise QueryError(f"a subquery gives more than {limit} values")
-        return sorted(r[0] for r in rows)
+        return fr.df.select(fr.text(f).alias("v")).distinct()
+
+    def few(self, q: ir.Query) -> list[str] | None:
+        """The values of a subquery, for the plan; None if they are too many."""
+        rows = self.column(q).limit(filters.MAX_INLINE + 1).collect()
+        return sorted(r[0] for r in rows) if len(rows) <= filters.MAX_INLINE else None
+
+    def values(self, q: ir.Query) -> list[str]:
+        found = self.few(q)
+        if found is None:
+            raise QueryError(f"a subquery gives more than {filters.MAX_INLINE} values")
+        return found
+
+    def contents(self, f: ir.Filter, fr: LogFrame) -> ir.Filter:
+        """f with the subqueries of contains_any and contains_all replaced by their values, but for those with too many."""
+        if isinstance(f, (ir.And, ir.Or)):
+            return type(f)(tuple(self.contents(x, fr) for x in f.of))
+        if isinstance(f, ir.Not):
+            return ir.Not(self.contents(f.of, fr))
+        if isinstance(f, ir.Members) and f.query is not None and f.kind != "in":
+            if (found := self.few(f.query)) is not None:
+                return ir.Members(f.kind, f.field, tuple(found))
+            if f.field == ir.ALL:
+                return ir.Or(tuple(replace(f, field=x) for x in fr.columns))
+        return f
 
     def inlined(self, f: ir.Filter) -> ir.Filter:
         """f with its subqueries replaced by their values."""
@@ -97,8 +121,6 @@ class Compiler:
 
     def flagged_ifs(self, p: ir.Pipe) -> ir.Pipe:
         """The ifs of pipes take subqueries as values, as they choose within a row."""
-        from dataclasses import replace
-
         if getattr(p, "iff", None) is not None:
             return replace(p, iff=self.inlined(p.iff))
         if isinstance(p, ir.Stats):
@@ -118,6 +140,7 @@ class Compiler:
         return fr
 
     def where_query(self, f: ir.Filter, fr: LogFrame) -> LogFrame:
+        f = self.contents(f, fr)
         inner, how = (f.of, "left_anti") if isinstance(f, ir.Not) else (f, "left_semi")
         if self.joinable(inner):
             keys, on = self.membership(inner, fr)
@@ -144,10 +167,14 @@ class Compiler:
 
     @staticmethod
     def joinable(f: ir.Filter) -> bool:
-        return isinstance(f, ir.StreamIds) and f.query is not None or isinstance(f, ir.Members) and f.query is not None and f.kind == "in"
+        """After contents(), what has a query still."""
+        return isinstance(f, (ir.StreamIds, ir.Members)) and f.query is not None
 
     def membership(self, f, fr: LogFrame):
-        """The distinct values of f's subquery, and the join condition; native types are compared as they are."""
+        """The distinct values of f's subquery, and the join condition; native types are compared as they are. For contains_any and contains_all, the distinct texts that pass."""
+        if isinstance(f, ir.Members) and f.kind != "in":
+            own = fr.text(f.field)
+            return containing(fr.df.select(own.alias("__key")), self.column(f.query), f.kind == "contains_all"), own.eqNullSafe(F.col("__key"))
         sub, name = self.run(f.query), values_field(f.query)
         field = f.field if isinstance(f, ir.Members) else ir.STREAM_ID
         same = sub.type(name) == fr.type(field) and fr.has(field)

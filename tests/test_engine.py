@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,42 @@ def want(*rows):
 TEXTS = ["an error happened", "error: x", "(error)", "errors", "ERROR", "_error", "éerror", "", None, "no Error; error_1"]
 
 
+PHRASES = ["error", "(error)", "x", "", ":", "é", "1", "no", "error; ", "an error", "err", "a.b"]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_contains_subquery_of_many_values(spark, monkeypatch, limit):
+    from siftflow.operators import filters
+
+    rows = [{"kind": "t", "i": str(i), "msg": t} for i, t in enumerate(TEXTS + ["a.b: an error", "axb", "-", "error"])] + [{"kind": "p", "p": p} for p in PHRASES]
+    e = log(spark, rows)
+    ids = lambda q: sorted(int(r["i"]) for r in run(e, f"kind:=t {q} | fields i"))
+    listed = lambda ps: ", ".join(json.dumps(p) for p in ps)
+    some = ['p:=error or p:="an error"', 'p:="" kind:=p', "p:=x or p:=1", 'p:=":" or p:="(error)"', "kind:=p p:*", "kind:=p", "p:=none"]
+    picked = [["error", "an error"], [""], ["x", "1"], [":", "(error)"], [p for p in PHRASES if p], PHRASES, []]
+    wanted = {(k, n, neg): ids(f"{neg}msg:{k}({listed(ps)})") for k in ("contains_any", "contains_all") for n, ps in enumerate(picked) if ps for neg in ("", "!")}
+    either = ids("(i:=7 or msg:contains_any(x, 1))")
+    monkeypatch.setattr(filters, "MAX_INLINE", limit)
+    assert {(k, n, neg): ids(f"{neg}msg:{k}(kind:=p ({some[n]}) | fields p)") for k, n, neg in wanted} == wanted
+    assert ids("(i:=7 or msg:contains_any(kind:=p (p:=x or p:=1) | fields p))") == either
+    assert ids("msg:contains_any(p:=none | fields p)") == []
+
+
+def test_contains_any_of_more_values_than_the_plan_takes(spark):
+    e = log(spark, [{"p": f"word {i}"} for i in range(10_050)] + [{"msg": "a word 10049"}, {"msg": "word 10050"}, {"msg": "no"}])
+    assert run(e, "msg:contains_any(p:* | fields p) | fields msg") == [{"msg": "a word 10049"}]
+
+
+def test_contains_any_of_all_benchmark_items(spark):
+    from siftflow import catalog
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
+    has = lambda t, p: re.search(("(?<!\\w)" if p[0].isalnum() else "") + re.escape(p) + ("(?!\\w)" if p[-1].isalnum() else ""), t) is not None
+    got = [r.doc_id for r in catalog.QUERIES["filter_contains_any_subquery_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted(d for d, t in docs if any(has(t, p) for p in items)) and got
+
+
 @pytest.mark.parametrize(
     "query,found",
     [
