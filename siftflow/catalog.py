@@ -144,6 +144,7 @@ q("pipe_format", "events", '* | format "<uc:event_type>/<event_id>/<hexencode:ev
 q("pipe_format_decode", "pages", '* | format "<hexencode:url>" as h | format "<urlencode:url>" as u | format "<hexdecode:h><urldecode:u>" as s | fields page_id, s', "SELECT page_id, url || url AS s FROM pages")
 q("pipe_format_units", "events", '* | math event_id * 1000000 as ns | format "<duration:ns> <ipv4:event_id> <time:user_id>" as s | filter event_id:<1000 | fields event_id, s',
   "SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE event_id || 'ms' END || ' 0.0.' || (event_id // 256) || '.' || (event_id % 256) || ' ' || strftime(to_timestamp(user_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS s FROM events WHERE event_id < 1000")
+q("pipe_format_units_whole", "events", '* | math event_id * 1000000 as ns | format "<duration:ns> <ipv4:event_id> <time:user_id>" as s | fields event_id, s')
 q("pipe_math", "lineitem", "* | math l_extendedprice * (1 - l_discount) as net, net * (1 + l_tax) as gross, round(l_quantity / 7) as r, max(l_tax, l_discount) as m, l_linenumber ^ 2 % 5 as p, (l_orderkey & 6) xor 3 as b | fields l_orderkey, l_linenumber, net, gross, r, m, p, b",
   "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, round(l_quantity / 7) AS r, greatest(l_tax, l_discount) AS m, CAST(l_linenumber * l_linenumber % 5 AS DOUBLE) AS p, CAST(xor(l_orderkey & 6, 3) AS DOUBLE) AS b FROM lineitem")
 q("pipe_math_ieee", "events", "* | math event_id / (user_id - user_id) as d, ln(value - value) as l, none default 7 as n, floor(-value) as f, abs(0 - value) as a | filter event_id:>0 d:=inf | stats count() c, sum(n) s, min(f) mf, max(a) ma",

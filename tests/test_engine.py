@@ -72,6 +72,32 @@ def test_contains_any_of_all_benchmark_items(spark):
     assert sorted(got) == sorted(d for d, t in docs if any(has(t, p) for p in items)) and got
 
 
+def brute_units(event, user):
+    from datetime import UTC, datetime
+
+    out, rest = "", event
+    for name, size in (("w", 604_800_000), ("d", 86_400_000), ("h", 3_600_000), ("m", 60_000)):
+        out, rest = out + (f"{rest // size}{name}" if rest >= size else ""), rest % size
+    if event >= 1000:
+        out += (f"{rest // 1000}.{rest % 1000:03}".rstrip("0").rstrip(".") + "s") if rest else ""
+    else:
+        out = f"{event}ms" if event else "0s"
+    return f"{out} {'.'.join(str(b) for b in event.to_bytes(4))} {datetime.fromtimestamp(user, UTC):%Y-%m-%dT%H:%M:%SZ}"
+
+
+def test_units_of_all_events(spark, tmp_path):
+    from siftflow import catalog
+
+    r = random.Random(4)
+    ids = [0, 1, 999, 1000, 1001, 1010, 1024, 59_999, 60_000, 60_001, 99_999, 3_600_000, 86_400_000, 604_800_000, 2**24, 2**32 - 1] + [r.randrange(2**r.randrange(10, 33)) for _ in range(300)]
+    rows = [(i, r.randrange(2_000_000_000)) for i in dict.fromkeys(ids)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("event_id", "timestamp'2024-01-01' AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    for at in (str(tmp_path), SF.replace("sf0.001", "sf0.01")):
+        events = [tuple(x) for x in spark.read.parquet(f"{at}/events.parquet").select("event_id", "user_id").collect()]
+        assert {tuple(x) for x in catalog.QUERIES["pipe_format_units_whole"](spark, at).collect()} == {(e, brute_units(e, u)) for e, u in events}
+
+
 @pytest.mark.parametrize(
     "query,found",
     [
