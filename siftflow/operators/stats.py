@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,8 @@ from siftflow.functions import values
 from siftflow.lang import ir, literals
 from siftflow.lang.lexer import QueryError
 from siftflow.operators.filters import all_of, any_of, condition
+from siftflow.tables import written
 
-#: quantile is exact up to so many rows a group, and its rank is off by at most one in so many beyond.
-ACCURACY = 100_000
 STEPS = {"nanosecond": 1, "microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
 CALENDAR = {"week", "month", "year"}
 #: Steps per decade of the histogram's buckets.
@@ -173,46 +172,44 @@ def _extreme(f, fr, only, low: bool) -> Column:
     return (found[0] if len(found) == 1 else both(*found))["v"]
 
 
-def sketched(f, fr) -> bool:
-    """Whether a quantile is one of a numeric column, for which Spark has a mergeable sketch."""
+def natively(f, fr) -> bool:
+    """Whether a quantile is one of a single column of numbers or times, which order as they are."""
     names = _typed(f, fr)
     return len(names) == 1 and (values.is_numeric(fr.type(names[0])) or values.is_time(fr.type(names[0])))
 
 
-def quantile(f, fr, only) -> Column:
-    """The value at int(phi x n) in order; missing values of a named field are the smallest."""
-    n, t = _typed(f, fr)[0], fr.type(_typed(f, fr)[0])
-    p = min(1.0, f.phi + 1e-9)
-    if values.is_time(t) or not _counts_empty(f):
-        return F.percentile_approx(only(fr.col(n)), p, ACCURACY)
-    least = F.lit(-(1 << 63)).cast("long") if isinstance(t, values.INTEGRAL) else F.lit(float("-inf"))
-    q = F.percentile_approx(only(F.coalesce(fr.col(n).cast(least_type(t)), least)), p, ACCURACY)
-    return F.when(q != least, q)
+def ranked_values(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each group's distinct values with their number and the running number within a range partition, and what comes before each partition.
 
-
-def least_type(t: T.DataType) -> str:
-    return "long" if isinstance(t, values.INTEGRAL) else "double"
-
-
-#: Text quantiles are exact up to so many values a group, and those of about so many sampled ones beyond.
-SAMPLED = 10_000
-
-
-def text_quantile(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]):
-    """The quantile of text, or of several fields together, in natural order.
-
-    A count per group tells which share of its values to keep, drawn with a fixed seed, so the lists that are sorted stay bounded.
+    Text, and several fields together, are in natural order; missing values of a named field are the smallest. The partitioned
+    values are a written table, as another run could draw other boundaries.
     """
     only, names = _only(keyed, f), _typed(f, keyed)
-    every = F.array(*[only(keyed.text(n) if _counts_empty(f) else F.when(keyed.filled(n), keyed.text(n))) for n in names])
-    rows = keyed.df.select(*keys, F.posexplode(every).alias("i", "v")).where("v IS NOT NULL")
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*[F.col(k).alias(f"{k}n") for k in keys], "n", F.lit(1).alias("one"))
-    on = [F.col(k).eqNullSafe(F.col(f"{k}n")) for k in keys] or [F.lit(1) == F.col("one")]
-    kept = rows.withColumn("u", F.rand(7)).join(counts, on).where((F.col("n") <= 2 * SAMPLED) | (F.col("u") < F.lit(SAMPLED) / F.col("n")))
-    order = F.array_sort(F.collect_list(F.struct(values.sort_key(F.when(F.col("v") != "", F.col("v")), T.StringType()).alias("k"), F.col("v").alias("v"))))
-    lists = kept.groupBy(*keys).agg(order.alias("o"))
-    at = F.least(F.floor(F.size("o") * F.lit(f.phi)), F.size("o") - 1).cast("int")
-    return lists.select(*keys, F.get("o", at)["v"].alias("__h"))
+    if natively(f, keyed):
+        t, x = keyed.type(names[0]), keyed.col(names[0])
+        x = x if values.is_time(t) or not _counts_empty(f) else x.cast("long" if isinstance(t, values.INTEGRAL) else "double")
+        rows = keyed.df.select(*keys, only(F.struct(x.alias("v"))).alias("r")).where("r IS NOT NULL").select(*keys, "r.v")
+        rows = rows.where("v IS NOT NULL") if values.is_time(t) or not _counts_empty(f) else rows
+        order = F.col("v")
+    else:
+        every = F.array(*[only(keyed.text(n) if _counts_empty(f) else F.when(keyed.filled(n), keyed.text(n))) for n in names])
+        rows = keyed.df.select(*keys, F.explode(every).alias("v")).where("v IS NOT NULL")
+        order = values.sort_key(F.when(F.col("v") != "", F.col("v")), T.StringType())
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("k", order)
+    parts = counts.repartitionByRange(*keys, "k", "v").withColumn("p", F.spark_partition_id())
+    placed = written(parts.withColumn("upto", F.sum("n").over(Window.partitionBy("p", *keys).orderBy("k", "v").rowsBetween(Window.unboundedPreceding, 0))), "quantile")
+    group = Window.partitionBy(*keys)
+    sizes = placed.groupBy(*keys, "p").agg(F.sum("n").alias("s"))  # one row per group and partition
+    before = F.coalesce(F.sum("s").over(group.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed, sizes.select(*[F.col(k).alias(f"{k}n") for k in keys], F.col("p").alias("pn"), "s", before.alias("b"), F.sum("s").over(group).alias("total"))
+
+
+def quantile(f: ir.StatsFunc, keys: list[str], placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The value at int(phi x n) in order."""
+    at = F.least(F.floor(F.col("total") * F.lit(float(f.phi))), F.col("total") - 1)
+    found = sizes.withColumn("at", at - F.col("b")).where("at >= 0 AND at < s")
+    on = [F.col("p") == F.col("pn"), F.col("upto") > F.col("at"), F.col("upto") - F.col("n") <= F.col("at")] + [F.col(k).eqNullSafe(F.col(f"{k}n")) for k in keys]
+    return placed.join(found, on).select(*keys, F.col("v").alias("__h"))
 
 
 def row_any(f, fr, only) -> Column:
@@ -264,8 +261,6 @@ FUNCTIONS = {
     "avg": avg,
     "min": lambda f, fr, only: _extreme(f, fr, only, True),
     "max": lambda f, fr, only: _extreme(f, fr, only, False),
-    "median": quantile,
-    "quantile": quantile,
     "row_any": row_any,
     "row_min": lambda f, fr, only: _row_extreme(f, fr, only, True),
     "row_max": lambda f, fr, only: _row_extreme(f, fr, only, False),
@@ -311,11 +306,20 @@ def stats(p: ir.Stats, fr: LogFrame, step_s: float | None = None) -> LogFrame:
     if not step_s:  # a rate is per second of the bucket of time, if there is one
         step_s = next((s for k in p.by if k.field == ir.TIME and k.bucket and (s := bucket_seconds(k.bucket))), None)
     keys = {f"__g{i}": bucketed(k, fr) for i, k in enumerate(p.by)}
+    ranked = {}
+
+    def quantiles(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]) -> DataFrame:
+        """Quantiles of the same values share a table."""
+        of = (f.args, f.iff)
+        if of not in ranked:
+            ranked[of] = ranked_values(f, keyed, keys)
+        return quantile(f, keys, *ranked[of])
+
     def apart(f: ir.StatsFunc):
         """What makes a function that needs an aggregation of its own, and its value where there is nothing."""
         if f.kind == "histogram":
             return histogram, "[]"
-        return (text_quantile, "") if f.kind in ("quantile", "median") and not sketched(f, fr) else None
+        return (quantiles, None if natively(f, fr) else "") if f.kind in ("quantile", "median") else None
 
     own = [f for f in p.funcs if not apart(f)]
     base = fr.with_df(fr.df.withColumns(keys)) if keys else fr
@@ -329,7 +333,7 @@ def stats(p: ir.Stats, fr: LogFrame, step_s: float | None = None) -> LogFrame:
                 df = df.join(h, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys], "left").drop(*[f"{k}h" for k in keys])
             else:
                 df = df.withColumn("__one", F.lit(1)).join(h.select(F.lit(1).alias("__one"), F.col("__h").alias(f"__h{i}")), "__one", "left").drop("__one")
-            df = df.withColumn(f.result, F.coalesce(F.col(f"__h{i}"), F.lit(nothing)))
+            df = df.withColumn(f.result, F.col(f"__h{i}") if nothing is None else F.coalesce(F.col(f"__h{i}"), F.lit(nothing)))
     return fr.with_df(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c(f.result) for f in p.funcs]))
 
 

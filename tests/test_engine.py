@@ -36,6 +36,22 @@ def want(*rows):
 TEXTS = ["an error happened", "error: x", "(error)", "errors", "ERROR", "_error", "éerror", "", None, "no Error; error_1"]
 
 
+def test_quantiles_of_many_values_are_exact(spark):
+    n = 150_000
+    df = spark.range(n).selectExpr("IF(id % 30 = 0, NULL, 'g') AS g", "concat('v', (id * 7919) % 150000) AS t", "CAST(IF(id % 50 = 1, NULL, (id * 7919) % 150000) AS BIGINT) AS x", "CAST((id * 7919) % 150000 AS DOUBLE) AS y")
+    got = Engine(LogFrame.of(df.repartition(3)), NOW).query("* | stats by (g) quantile(0.37, t) a, median(t) b, quantile(0.37, x) c, quantile(0, x) d, median(x) if (x:>100) e, quantile(0.999, y) f, quantile(1, y) h, median(x) if (x:<0) i, count() n").collect()
+    rows = [(i % 30 > 0, i * 7919 % n, i % 50 != 1) for i in range(n)]
+    at = lambda vs, phi: sorted(vs)[min(int(phi * len(vs)), len(vs) - 1)] if vs else None
+    for r in got:
+        own = [(v, there) for g, v, there in rows if g == (r.g == "g")]
+        ys = [v for v, _ in own]
+        xs = [v if there else -1 for v, there in own]
+        none = lambda v: None if v == -1 else v
+        assert (r.a, r.b, r.f, r.h, r.i, r.n) == (f"v{at(ys, 0.37)}", f"v{at(ys, 0.5)}", at(ys, 0.999), max(ys), None, len(own))
+        assert (r.c, r.d, r.e) == (none(at(xs, 0.37)), none(min(xs)), at([x for x in xs if x > 100], 0.5))
+    assert len(got) == 2
+
+
 PHRASES = ["error", "(error)", "x", "", ":", "é", "1", "no", "error; ", "an error", "err", "a.b"]
 
 
