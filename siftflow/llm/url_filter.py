@@ -28,10 +28,11 @@ RULES = [
     ("net", "/fr/", None, None, "block"),
 ]
 #: Where no rule for a host fits, a pattern of spam hosts may block; all else is allowed.
+HOST = r"(?is)^(?:(?!://).)*://"
 PATTERNS = [
-    ("", "", r"(?i)://([^/?#]*[.-])?spam([.-][^/?#]*)?([/?#]|$)", "spam", "block"),
-    ("", "", r"(?i)://([^/?#]*\.)?(cheap|online|best)-pills([.-][^/?#]*)?([/?#]|$)", "pills", "block"),
-    ("", "", r"(?i)://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)", "casino", "block"),
+    ("", "", HOST + r"([^/?#]*[.-])?spam([.-][^/?#]*)?([/?#]|\z)", "spam", "block"),
+    ("", "", HOST + r"([^/?#]*\.)?(cheap|online|best)-pills([.-][^/?#]*)?([/?#]|\z)", "pills", "block"),
+    ("", "", HOST + r"([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|\z)", "casino", "block"),
 ]
 RULE_SCHEMA = "host string, path string, pattern string, words string, verdict string"
 OTHERWISE = "allow"
@@ -65,10 +66,6 @@ def rule_tokens(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", F.explode(F.array_distinct(F.concat(host_tokens(F.col("host")), path_tokens(ended), words))).alias("token"))
 
 
-def quoted(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
-
-
 def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", otherwise: str = OTHERWISE) -> DataFrame:
     """One row per page: page_id, host, path, rule (host and path of the rule that won; null for one without either, or none), verdict."""
     spark = pages.sparkSession
@@ -91,7 +88,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, id_col: str =
     asked = urls.withColumn("token", F.explode(F.concat(F.array(F.lit("")), tokens))).join(small(grouped), "token", "left")
 
     def fits(r: Column) -> Column:
-        on_host = (r.host == "") | F.rlike("host", F.concat(F.lit(r"^(?:.*\.)?"), quoted(r.host), F.lit("$")))
+        on_host = (r.host == "") | (F.col("host") == r.host) | F.col("host").endswith(F.concat(F.lit("."), r.host))
         return (F.col("host") != "") & F.startswith("path", r.path) & on_host & (r.pattern.isNull() | F.coalesce(F.rlike("url", r.pattern), F.lit(False)))
 
     best = F.array_max(F.transform(F.filter("rules", fits), lambda r: F.struct(r["size"].alias("size"), r.host.alias("host"), r.path.alias("path"), r.verdict.alias("verdict"))))

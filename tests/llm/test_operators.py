@@ -129,12 +129,13 @@ def brute_url(url):
         cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
         host, path = rest[:cut].encode().lower().decode() if rest[:cut].isascii() else "".join(c.lower() if c.isascii() else c for c in rest[:cut]), re.split("[?#]", rest[cut:])[0]
     fits = [(len(h + p), h + p, v) for h, p, _, _, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    spam = re.search(r"(^|[.-])(spam|casino)([.-]|$)|(^|\.)(cheap|online|best)-pills([.-]|$)", host)
+    spam = re.search(r"(^|[.-])(spam|casino)([.-]|\Z)|(^|\.)(cheap|online|best)-pills([.-]|\Z)", host)
     return (host, path, *(max(fits)[1:] if fits else (None, "block" if spam else "allow")))
 
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://COM/", "http://Example.com/en/1", "https://www.EXAMPLE.com/en/", "http://xexample.com/en/", "http://a.net/es/x?y", "http://net/fr", "http://net/fr/#a", "ftp://a.b.net/fr/\nx", "http://é.COM/en/", "http://example.com?/en/", "x://y://example.com/en/", "http://example.com:80/en/", "http://www.example.com/es/", "http://com", "http://spam-farm.org/x", "http://a.SPAM.org", "http://www.cheap-pills.de?x", "http://spammer.org/", "http://x.org/spam", "http://spam.com/y", "http://big-casino"]
+    urls += ["http://example.com\n/en/x", "http://x\n.example.com/en/1", "http://a\nb.com/", "http://www.example.com\r\n/en/", "http://\nnet/fr/", "http://spam\n", "http://a\n.spam/x", "http://ok.org/?u=http://spam.org/", "http://a.com.net/es/\n"]
     rows = [(i, u, "x", "y") for i, u in enumerate(urls)] + [(5, urls[5], "x", "y"), (None, urls[5], "", ""), (None, None, "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
     assert Counter(tuple(x) for x in url_filter.url_verdicts(df).collect()) == Counter((i, *brute_url(u)) for i, u, *_ in rows)
