@@ -26,7 +26,6 @@ from siftflow.llm.common import forget, join_groups, written
 
 SEED, SHINGLE, BITS, RADIUS = 42, 3, 64, 2
 AT_ONCE = 1 << 16
-MAX_ROUNDS = 60
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -78,9 +77,9 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is reachable, for nodes that have links. Each round is a written table."""
+    """(node, component): the smallest node that is reachable, for nodes that have links. Each round is a written table; the last one changes nothing."""
     edges, before = written(edges, "links"), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -93,7 +92,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
-    raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
