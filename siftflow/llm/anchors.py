@@ -13,11 +13,13 @@ a comparison of their real content.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +138,8 @@ def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array]
     """A mapInArrow function from (doc_id, text) to blocks of records. once: equal places of a run count once."""
 
     def run(batches):
-        z, held, n_held, turn = zstandard.ZstdCompressor(1), [], 0, 0
+        # the blocks of repeats go round the buckets, from another one in each task
+        z, held, n_held, turn = zstandard.ZstdCompressor(1), [], 0, zlib.crc32(b"%d" % TaskContext.get().partitionId())
 
         def flush():
             nonlocal turn
