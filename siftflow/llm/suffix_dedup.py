@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftflow.llm.anchors import HOT, LOW, REPEATED, gram_hashes, judged_runs, merged_spans, mixed
-from siftflow.llm.common import bucket_count
+from siftflow.llm.common import bucket_count, written
 
 #: Bytes of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.
 WIDTH, GRAM, HOT_RUNS = 100, 24, 50_000
@@ -162,7 +162,8 @@ def later_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = judged_runs(docs, width, gram, byte_symbols, True, hot_runs, n, "strings")
     whole = runs.where(F.col("role") == REPEATED).select("doc_id", "start", (F.col("start") + F.col("nwin") + width - 1).cast("int").alias("stop"))
     asked = runs.where(F.col("role") != REPEATED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", "key", "role")).alias("runs"))
-    suffixes = docs.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_suffixes(width, gram), SUFFIX)
+    # written, as sampling the splitters reads them once and sorting once more
+    suffixes = written(docs.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_suffixes(width, gram), SUFFIX), "suffixes")
     cold = suffixes.where(~F.col("hot")).drop("hot").repartitionByRange(n, "lead").sortWithinPartitions("lead")
     found = whole.unionByName(cold.mapInArrow(_bucket(width, gram), SPAN))
     if runs.where(F.col("role") == HOT).limit(1).count():
