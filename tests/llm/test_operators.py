@@ -158,7 +158,7 @@ def brute_hits(rows, items):
     for d, t in rows:
         w, hit, found = words(t), set(), set()
         for n in {len(k) for k in wins}:
-            for i in range(len(w) - n + 1) if d is not None else ():
+            for i in range(len(w) - n + 1):
                 if (k := tuple(w[i : i + n])) in wins:
                     hit |= set(range(i, i + n))
                     found |= wins[k]
@@ -180,8 +180,9 @@ def test_decontamination(spark):
 
 def test_folding_changes_a_to_z_only(spark):
     chars = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
-    texts = chars.select(F.concat("c", F.lit("AzZ")).alias("t"))
-    assert texts.where(common.ascii_lower(F.col("t")) != F.translate("t", common.UPPER, common.LOWER)).collect() == []
+    texts = chars.select(F.concat(F.lit("Az"), "c", F.lit("ZQ "), "c", "c").alias("t"))
+    by_pattern = F.trim(F.regexp_replace(F.translate("t", common.UPPER, common.LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    assert texts.where(F.array_join(common.word_array(F.col("t")), " ") != by_pattern).collect() == []
 
 
 @pytest.mark.parametrize("odd", ["\u2163", "\u24b6", "\u2c2f"])  # a Roman numeral, a circled capital, a capital newer than the JVM's Unicode
@@ -196,6 +197,11 @@ def test_decontamination_folds_a_word_alike_in_any_text(spark, odd):
 def test_proximity(spark):
     docs = frame(spark, [(1, "rare " + "x " * 5 + "odd of"), (2, "rare " + "x " * 30 + "odd of"), (3, "x " * 17 + "odd x rare of"), (4, None)])
     items = spark.createDataFrame([(9, "odd rare")], "item_id long, text string")
+    # a null id is a row like any other
+    docs = docs.unionByName(frame(spark, [(None, "odd b c rare")]))
+    got = decontamination.proximity_matches(docs, items, terms=2, slop=10).collect()
+    assert Counter(tuple(x) for x in got) == Counter([("9", 1), ("9", 3), ("9", None)])
+    docs = docs.where("doc_id IS NOT NULL")
     assert sorted(tuple(x) for x in decontamination.proximity_matches(docs, items, terms=2, slop=10).collect()) == [("9", 1), ("9", 3)]
 
 
@@ -210,17 +216,37 @@ def brute_exact(rows):
         yield d, keep, len(group), d == keep, h
 
 
-@pytest.mark.parametrize("most", [0, 1000])
-def test_exact(spark, most):
+@pytest.mark.parametrize("most", [1, 1 << 20])  # a filter that lets nearly all rows pass, and one that fits
+def test_exact(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_ROWS", most)
     r = random.Random(2)
     rows = [(i, "".join(r.choices("ab \n\u00a0", k=r.randrange(0, 5)))) for i in range(80)] + ODD + [(5, "a b"), (5, "a b")]
-    got = exact_dedup.dedup_exact(frame(spark, rows), hash_all=True, broadcast_keys=most)
-    assert Counter(tuple(x) for x in got.collect()) == Counter(brute_exact(rows))
-    lazy = exact_dedup.dedup_exact(frame(spark, rows), broadcast_keys=most).collect()
+    got = exact_dedup.dedup_exact(frame(spark, rows), hash_all=True).collect()
+    assert Counter(tuple(x)[:5] for x in got) == Counter(brute_exact(rows)) and len({x.row for x in got}) == len(rows)
+    lazy = exact_dedup.dedup_exact(frame(spark, rows)).collect()
     assert Counter(tuple(x)[:4] for x in lazy) == Counter(x[:4] for x in brute_exact(rows)) and any(x.full_hash is None for x in lazy)
     assert exact_dedup.dedup_exact(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_exact_hashes_only_survivors(spark, monkeypatch):
+    seen = []
+    whole = exact_dedup.hashed
+    monkeypatch.setattr(exact_dedup, "hashed", lambda rows: seen.append(rows) or whole(rows))
+    exact_dedup.dedup_exact(spark.createDataFrame([(i, f"text {i % 90:03} " * 50) for i in range(100)], "doc_id long, text string")).collect()
+    assert len(seen) == 1 and seen[0].count() < 60  # twenty rows have a copy; the filter is of 64 bits a slot
+    assert "Exchange hashpartitioning" not in seen[0]._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_parted_keeps_every_match(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_ROWS", most)
+    rows, keys = spark.range(3000).withColumnRenamed("id", "k"), common.written(spark.range(0, 3000, 7).withColumnRenamed("id", "k"), "keys")
+    some, others = common.parted(rows, keys, "k")
+    assert some.count() + others.count() == 3000 and others.join(keys, "k").count() == 0
+    assert some.count() < 1200 or most == 1
+    assert common.parted(rows, keys.limit(0), "k")[0].count() == 0
+
+
 # ---------------------------------------------------------------- licenses
 
 
@@ -234,15 +260,72 @@ def brute_base(t):
 
 def test_licenses(spark):
     rows = ODD + [(1, "The MIT License. mit license; License MIT"), (2, "GNU general public license v3, Apache-License"), (3, "license"), (4, "public license general public License"), (5, "x y Licensed under CC BY-NC 4.0. z"), (5, "z")]
-    rows += [(6, "foo " + license_scan.TEMPLATES[6][1].replace("binary", "binary code") + " bar"), (7, "Licensed under something else entirely"), (8, "\n".join(["Released under the MIT License."] * 40))]
+    rows += [(6, "foo " + license_scan.TEMPLATES[10][1].replace("binary", "binary code") + " bar"), (7, "Licensed under something else entirely"), (8, "\n".join(["Released under the MIT License."] * 40))]
+    rows += LICENSE_ROWS
     got = license_scan.scan_licenses(frame(spark, rows)).collect()
     assert Counter(tuple(x)[:6] for x in got) == Counter((d, *brute_base(t)) for d, t in rows)
+    assert Counter((x.doc_id, x.labels, round(x.score, 9)) for x in got) == Counter((d, *brute_labels(t)) for d, t in rows)
     labels = {x.doc_id: x.labels for x in got}
-    assert (labels[1], labels[2], labels[3], labels[5], labels[6], labels[7], labels[8]) == ("mit", "apache,gpl", "", "cc-by-nc", "bsd", "", "mit")
-    assert all(0 <= x.score <= 1 for x in got) and {x.doc_id: x.score for x in got}[7] == 0
+    assert (labels[1], labels[2], labels[3], labels[6], labels[7], labels[8]) == ("mit", "apache,gpl", "", "bsd", "", "mit")
+    assert [labels[i] for i in (20, 21, 22, 23, 24, 25)] == ["mit", "mit", "isc,zlib", "", "gpl", "bsd"]
+    score = {x.doc_id: x.score for x in got}
+    assert score[7] == 0 and score[20] == 1 and score[23] == 0 and score[26] == license_scan.MENTION and 0.1 < score[21] < 0.6
+    assert Counter(x.labels for x in got if x.doc_id == 5) == {"cc-by-nc": 1, "": 1}  # rows of one id are judged each for themselves
     assert license_scan.scan_licenses(frame(spark, rows).limit(0)).collect() == []
 
 
+def license_rows():
+    texts = {}
+    for label, t in license_scan.TEMPLATES:
+        texts.setdefault(label, t)
+    mit = texts["mit"].split()
+    return [
+        (20, "Some project. " + texts["mit"]),
+        (21, "tail of one: " + " ".join(mit[60:110])),  # without its opening
+        (22, texts["zlib"].replace("this software", "this fine software") + " and then " + texts["isc"]),
+        (23, " ".join(random.Random(1).sample(mit, len(mit)))),  # its words in another order
+        (24, texts["gpl"]),
+        (25, "\n".join("# " + " ".join(texts["bsd"].split()[i : i + 9]) for i in range(0, 300, 9))),
+        (26, "not the mit license at all"),
+        (None, "this is " + texts["unlicense"]),
+    ]
+
+
+LICENSE_ROWS = license_rows()
+
+
+def brute_labels(t):
+    """By every pair of equal trigrams, in plain loops."""
+    w, k, found = words(t), license_scan.GRAM, [(0.0, None)]
+    for label, text in license_scan.TEMPLATES:
+        tw = words(text)
+        at = {}
+        for j in range(len(tw) - k + 1):
+            at.setdefault(tuple(tw[j : j + k]), []).append(j)
+        lines = {}
+        for i in range(len(w) - k + 1):
+            for j in at.get(tuple(w[i : i + k]), ()):
+                lines.setdefault(i - j, []).append(i)
+        chains, last = [], None
+        for d in sorted(lines):
+            if last is None or d - last > license_scan.DRIFT:
+                chains.append([])
+            chains[-1].append((d, lines[d]))
+            last = d
+        for c in chains:
+            if max(max(p) for _, p in c) + k - min(min(p) for _, p in c) > license_scan.STRETCH * len(tw) + license_scan.DRIFT:
+                c = [max(c, key=lambda x: (len({tuple(w[i : i + k]) for i in x[1]}), -min(x[1]), x[0]))]
+            n = len({tuple(w[i : i + k]) for _, p in c for i in p})
+            if n < license_scan.SHARE * len(at) and n <= license_scan.PART - k:
+                continue
+            held = {i - d for d, p in c for i in range(min(p), max(p) + k) if w[i] == tw[i - d]}
+            if len(held) >= license_scan.SHARE * len(tw) or len(held) >= license_scan.PART and len(held) >= license_scan.ALONG * (max(held) - min(held) + 1):
+                found.append((len(held) / len(tw), label))
+    base = brute_base(t)
+    own = {x for _, x in found if x} | {x for x in base[4].split(",") if x}
+    return ",".join(sorted(own)), round(max(max(x for x, _ in found), license_scan.MENTION if base[1] else 0.0), 9)
+
+
 # ---------------------------------------------------------------- SimHash
 
 
@@ -351,3 +434,17 @@ def test_stages_on_odd_documents(spark):
             assert got[1, rows[-1][1]] == 2 and not got[2, rows[-1][1]], name  # rows with the id that stays all stay
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, SF).count() == len(rows) and last(spark, docs.limit(0), SF).collect() == []
+
+
+def test_stages_judge_rows_of_one_id_each_by_its_text(spark):
+    import corpus_pipeline
+
+    a, b, c = ("plain words that make a text of some length and no more than that", "quite another text that has nothing to do with the first one at all", "and a third one, which says something else again and stands alone here")
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, c), (5, f"x {item} y"), (None, f"z {item}")]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda stage: Counter((r.doc_id, r.text) for r in stage(spark, docs, SF).collect())
+    dups = Counter([(3, a), (5, b), (None, c), *rows[5:]])
+    assert kept(corpus_pipeline.exact_once) == dups
+    assert kept(corpus_pipeline.near_once) == dups
+    assert kept(corpus_pipeline.uncontaminated) == Counter(rows[:5])
