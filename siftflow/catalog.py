@@ -229,6 +229,26 @@ q("stats_bucket_duration", "events", '* | math event_id * 1000000000 as ns | for
 q("pricing_summary", "lineitem", "_time:<=1998-09-02T00:00:00Z | math l_extendedprice * (1 - l_discount) as disc, disc * (1 + l_tax) as charge | stats by (l_returnflag, l_linestatus) sum(l_quantity) sum_qty, sum(l_extendedprice) sum_base, sum(disc) sum_disc, sum(charge) sum_charge, avg(l_quantity) avg_qty, avg(l_discount) avg_disc, count() n | sort by (l_returnflag, l_linestatus)",
   "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate < '1998-09-02 00:00:01' GROUP BY ALL")
 
+q("stats_values_each", "conversations", "* | stats by (role) values(turn) v | unroll by (v) | stats by (role, v) count() n", "SELECT role, CAST(turn AS VARCHAR) AS v, count(*) AS n FROM conversations GROUP BY ALL")
+q("stats_json_values_each", "conversations", "* | stats by (role) json_values(conv_id, turn) j | unroll by (j) | unpack_json from j fields (conv_id, turn) | fields role, conv_id, turn",
+  "SELECT role, CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn FROM conversations")
+q("stats_values_limited", "events", "* | stats by (event_type) values(event_id) limit 3 v, json_values(event_id) limit 5 j, uniq_values(user_id) limit 4 u | json_array_len(v) as n | json_array_len(j) as m | fields event_type, n, m, u",
+  """SELECT event_type, least(count(*), 3) AS n, least(count(*), 5) AS m, '["' || array_to_string(list_sort(list(DISTINCT user_id))[1:4], '","') || '"]' AS u FROM events GROUP BY 1""")
+q("stats_histogram_bounds", "events", "* | stats by (event_type) histogram(value) h | unroll by (h) | unpack_json from h fields (vmrange, hits) | fields event_type, vmrange, hits",
+  """WITH e AS (SELECT event_type, CAST(floor(log10(value) * 18) AS INT) AS i FROM events WHERE value > 0),
+b AS (SELECT event_type, i, printf('%.3fe%+03d', pow(10, i / 18 - floor(i / 18)), CAST(floor(i / 18) AS INT)) AS a, printf('%.3fe%+03d', pow(10, (i + 1) / 18 - floor((i + 1) / 18)), CAST(floor((i + 1) / 18) AS INT)) AS z FROM e)
+SELECT event_type, a || '...' || z AS vmrange, CAST(count(*) AS VARCHAR) AS hits FROM b GROUP BY event_type, a, z""")
+q("stats_bucket_offset", "events", "* | stats by (user_id:10 offset 3) count() n", "SELECT CASE WHEN user_id < 3 THEN 0 ELSE (user_id - 3) // 10 * 10 + 3 END AS user_id, count(*) AS n FROM events GROUP BY 1")
+q("pipe_offset_rows", "events", "* | sort by (event_id) | offset 100 | fields event_id", "SELECT event_id FROM events ORDER BY event_id OFFSET 100")
+q("pipe_format_codes", "events", '* | format "<uc:event_type>" as u | format "<base64encode:u>" as b | format "<hexnumencode:event_id>" as x | format "<lc:u> <base64decode:b> <hexnumdecode:x> <x>" as s | fields event_id, s',
+  "SELECT event_id, event_type || ' ' || upper(event_type) || ' ' || event_id || ' ' || lpad(upper(to_hex(event_id)), 16, '0') AS s FROM events")
+q("pipe_format_seconds", "events", '* | format "<event_id>ms" as d | format "<duration_seconds:d>" as s | math round(s * 1000) as m | fields event_id, m', "SELECT event_id, CAST(event_id AS DOUBLE) AS m FROM events")
+q("pipe_math_functions", "events", "* | math ceil(value) as c, round(exp(value / 1000) * 1000000) as e, min(value, user_id, none) as lo, round(value, 0.5) as h | fields event_id, c, e, lo, h",
+  "SELECT event_id, ceil(value) AS c, round(exp(value / 1000) * 1000000) AS e, least(value, CAST(user_id AS DOUBLE)) AS lo, round(value / 0.5) * 0.5 AS h FROM events")
+q("pipe_json_array_len_each", "conversations", "* | stats by (conv_id) values(turn) v | json_array_len(v) as n | fields conv_id, n", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
+q("filter_eq_field_columns", "lineitem", "* | filter l_linenumber:eq_field(l_quantity) | fields l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = l_quantity")
+
+
 # ---------------------------------------------------------------- read API
 
 

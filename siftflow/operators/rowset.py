@@ -59,7 +59,16 @@ def limit(p: ir.Limit, fr: LogFrame) -> LogFrame:
 
 
 def offset(p: ir.Offset, fr: LogFrame) -> LogFrame:
-    return fr.with_df(fr.df.offset(min(p.n, 2**31 - 1)))
+    """All rows but the first n, in their order. Each partition is written with the places of its rows, and the rows of those before are counted, so no task gets all rows."""
+    if not p.n:
+        return fr
+    placed = written(fr.df.withColumn("__m", F.monotonically_increasing_id()), "offset")
+    part = F.shiftright("__m", 33).alias("__p")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__s"))  # one row per partition
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("__p", part).join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p")
+    rest = placed.where(F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) >= p.n)
+    return fr.with_df(rest.orderBy("__m").select(*[c(x) for x in fr.df.columns]))
 
 
 def by_or_all(fr: LogFrame, by) -> list[str]:

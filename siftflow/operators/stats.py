@@ -61,7 +61,9 @@ def bucketed(k: ir.GroupKey, fr: LogFrame) -> Column:
     whole = step == int(step) and off == int(off)
     if isinstance(t, values.INTEGRAL) and whole:
         x = fr.col(k.field).cast("long") - F.lit(int(off))
-        return x - F.pmod(x, F.lit(int(step))) + F.lit(int(off))
+        start = x - F.pmod(x, F.lit(int(step))) + F.lit(int(off))
+        # numbers that aren't negative have no bucket below zero
+        return F.when((x < 0) & (x + F.lit(int(off)) >= 0), F.lit(0).cast("long")).otherwise(start) if off > 0 else start
     digits = 0 if whole else max(len(repr(step).partition(".")[2]), len(repr(off).partition(".")[2]))
 
     def floor(x: Column) -> Column:
@@ -233,7 +235,7 @@ def sum_len(f, fr, only) -> Column:
 
 
 def uniq_values(f, fr, only) -> Column:
-    """Sorted in natural order; like the whole array of values(), it must fit in a task."""
+    """Sorted in natural order. Without a limit it's one array, as is that of values(), and must fit in a task; see bounded() for those with one."""
     sets = [F.collect_set(only(F.when(fr.text(n) != "", fr.text(n)))) for n in _typed(f, fr)]
     merged = sets[0] if len(sets) == 1 else F.array_distinct(F.concat(*sets))
     keyed = F.array_sort(F.transform(merged, lambda x: F.struct(values.sort_key(x, T.StringType()).alias("k"), x.alias("v"))))
@@ -252,6 +254,21 @@ def json_values(f, fr, only) -> Column:
     return F.concat(F.lit("["), F.array_join(F.slice(out, 1, f.limit) if f.limit else out, ","), F.lit("]"))
 
 
+def bounded(f: ir.StatsFunc, keyed: LogFrame, keys: list[str]) -> DataFrame:
+    """values, json_values and uniq_values with a limit: a group's rows are cut to it before they are gathered, and in each partition before they are shuffled."""
+    only, names = _only(keyed, f), _typed(f, keyed)
+    text = keyed.row_json(f.args) if f.kind == "json_values" else None
+    each = [only(text)] if text is not None else [only(F.when(keyed.text(n) != "", keyed.text(n)) if f.kind == "uniq_values" else keyed.text(n)) for n in names]
+    rows = keyed.df.select(*keys, F.explode(F.array(*each)).alias("v")).where("v IS NOT NULL")
+    if f.kind == "uniq_values":
+        rows = rows.distinct().withColumn("k", values.sort_key(F.col("v"), T.StringType()))
+    order = ["k", "v"] if f.kind == "uniq_values" else [F.lit(0)]
+    kept = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= f.limit)
+    found = F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"])
+    as_text = F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")) if f.kind == "json_values" else F.to_json(found)
+    return kept.groupBy(*keys).agg(as_text.alias("__h"))
+
+
 FUNCTIONS = {
     "count": count,
     "count_empty": count_empty,
@@ -319,6 +336,8 @@ def stats(p: ir.Stats, fr: LogFrame, step_s: float | None = None) -> LogFrame:
         """What makes a function that needs an aggregation of its own, and its value where there is nothing."""
         if f.kind == "histogram":
             return histogram, "[]"
+        if f.kind in ("values", "json_values", "uniq_values") and f.limit:
+            return bounded, "[]"
         return (quantiles, None if natively(f, fr) else "") if f.kind in ("quantile", "median") else None
 
     own = [f for f in p.funcs if not apart(f)]
