@@ -52,3 +52,34 @@ def unsnappy(b: bytes) -> bytes:
 
     size, _ = varint(b, 0)
     return pa.Codec("snappy").decompress(b, size).to_pybytes()
+
+
+def number(n: int) -> bytes:
+    """A varint."""
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def field(n: int, v: int | float | str | bytes) -> bytes:
+    """One field of the wire format: a varint, a double, or bytes with their length before them."""
+    if isinstance(v, float):
+        return number(n << 3 | 1) + struct.pack("<d", v)
+    if isinstance(v, int):
+        return number(n << 3) + number(v)
+    v = v.encode() if isinstance(v, str) else v
+    return number(n << 3 | 2) + number(len(v)) + v
+
+
+def fixed64(n: int, v: int) -> bytes:
+    return number(n << 3 | 1) + v.to_bytes(8, "little")
+
+
+def snappy(b: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("snappy").compress(b).to_pybytes()

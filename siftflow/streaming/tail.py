@@ -33,9 +33,14 @@ def tail(engine, query: str, drop_late: bool = False, lateness: str = LATENESS,
     return Compiler(fr).run(q).df
 
 
+def watermarked(fr: LogFrame, lateness: str) -> DataFrame:
+    """The stream with its watermark, which needs an instant; local times count as times of the session's zone."""
+    return fr.df.withColumn(ir.TIME, c(ir.TIME).cast("timestamp")).withWatermark(ir.TIME, lateness)
+
+
 def deduplicated(fr: LogFrame, keys: list[str], lateness: str = LATENESS) -> LogFrame:
     """Rows that a source sent again within the lateness are dropped."""
-    df = fr.df.withWatermark(ir.TIME, lateness).dropDuplicatesWithinWatermark(keys)
+    df = watermarked(fr, lateness).dropDuplicatesWithinWatermark(keys)
     return fr.with_df(df)
 
 
@@ -60,7 +65,7 @@ def in_order(fr: LogFrame) -> DataFrame:
 
 def windowed_stats(fr: LogFrame, step: str, aggregates: list, by: list[str] | None = None, slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Statistics per window of time and fields; a window is final when the watermark has passed its end."""
-    df = fr.df.withWatermark(ir.TIME, watermark)
+    df = watermarked(fr, watermark)
     w = F.window(c(ir.TIME), step, slide) if slide else F.window(c(ir.TIME), step)
     return df.groupBy(w.alias("window"), *[fr.key(b).alias(b) for b in by or []]).agg(*aggregates).select(F.col("window.start").alias(ir.TIME), *[c(b) for b in by or []], *[c(n) for n in agg_names(df, aggregates)])
 
@@ -71,6 +76,6 @@ def agg_names(df: DataFrame, aggregates: list) -> list[str]:
 
 def session_stats(fr: LogFrame, gap: str, aggregates: list, by: list[str] | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Statistics per session: rows of the same fields whose times are at most a gap apart."""
-    df = fr.df.withWatermark(ir.TIME, watermark)
+    df = watermarked(fr, watermark)
     keys = [fr.key(b).alias(b) for b in by or []] or [F.pmod(F.unix_micros(c(ir.TIME)), F.lit(1)).alias("__all")]  # Spark wants a key beside the session, and no constant
     return df.groupBy(F.session_window(c(ir.TIME), gap).alias("session"), *keys).agg(*aggregates).drop("__all")

@@ -201,3 +201,34 @@ def test_replicate(spark, tmp_path):
     sinks = [lambda d, epoch, o=o: d.write.mode("append").parquet(o) for o in outs]
     store.replicate(df, sinks, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert [spark.read.parquet(o).count() for o in outs] == [1, 1]
+
+
+@pytest.mark.parametrize("name", ["source_json_lines", "source_loki_protobuf", "source_otel_protobuf", "source_journald", "store_compaction", "stream_tail_resumed", "stream_sessions", "stream_windows"])
+def test_registered_queries(spark, name):
+    import duckdb
+
+    from siftflow import catalog, catalog_ingest  # noqa: F401
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/events.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    names = [x[0] for x in want.description]
+    plain = lambda rows: sorted((tuple(x.replace(tzinfo=None) if isinstance(x, dt.datetime) else x for x in r) for r in rows), key=str)
+    rows = plain(catalog.QUERIES[name](spark, at).select(*names).collect())
+    assert rows and rows == plain(want.fetchall())
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from siftflow import tables
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="share"):
+        tables.shared_dir(Session)
