@@ -5,7 +5,7 @@ k-gram of smallest hash, the leftmost of equal ones. It depends on the window's
 minimisers: windows whose minimiser is unique in the corpus are unique, and only the others need to be compared. Windows of
 one run differ from each other, as they hold their common minimiser at different offsets.
 
-Runs travel first as records of two hashes (of the minimiser, and of the whole run) and their place. Those records are packed
+Runs travel first as records of hashes (of the minimiser, and two of the whole run) and their place. Those records are packed
 into one compressed block per bucket and batch, after equal runs of the batch were merged, so a run that a third of all
 documents share crosses the network once per batch. Only runs whose minimiser also occurs in another, different run go on to
 a comparison of their real content.
@@ -30,7 +30,7 @@ CHUNK, FLUSH = 1 << 18, 1 << 20
 POS_BITS = np.uint64(24)
 LOW = np.uint64((1 << 24) - 1)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 BLOCK = "bucket int, kind int, payload binary"
 RUN = "doc_id long, start int, nwin int, key long, role int"
 #: role of a run: REPEATED needs no comparison, COMPARE holds windows that may occur in other runs, HOT is COMPARE for a minimiser with very many different runs.
@@ -52,11 +52,10 @@ def powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or max(_POWERS) < n:
-        _POWERS.clear()
-        _POWERS[n] = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
-    return next(iter(_POWERS.values()))
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        _POWERS[base] = powers(base, n), powers(pow(base, -1, 1 << 64), n)
+    return _POWERS[base]
 
 
 def gram_hashes(sym: np.ndarray, k: int) -> np.ndarray:
@@ -89,8 +88,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(sym: np.ndarray, lens: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of the documents whose symbols lie one after the other in sym: piece, start in it, windows, hash of the minimiser, hash of the run, offset of the minimiser from the start."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+    """Runs of the documents whose symbols lie one after the other in sym: piece, start in it, windows, hash of the minimiser, two hashes of the run that are independent of it and of each other."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if len(sym) < width:
         return none
     ends = np.cumsum(lens)
@@ -110,12 +109,13 @@ def runs_of(sym: np.ndarray, lens: np.ndarray, width: int, k: int) -> tuple[np.n
     new[1:] |= idx[1:] != idx[:-1] + 1
     s = np.flatnonzero(new)
     a, nwin = idx[s], np.diff(np.append(s, total))
-    up, down = _tables(max(len(sym) + 1, CHUNK * 2 + 4096))
-    total_hash = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sym + M2) * up[: len(sym)])])
-    e = a + nwin + width - 1
-    whole = mixed(((total_hash[e] - total_hash[a]) * down[a]) ^ (nwin.astype(np.uint64) * M1))
+    e, wholes = a + nwin + width - 1, []
+    for base, shift in ((BASE, M2), (BASE2, M1)):
+        up, down = _tables(base, max(len(sym) + 1, CHUNK * 2 + 4096))
+        total_hash = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sym + shift) * up[: len(sym)])])
+        wholes.append(mixed(((total_hash[e] - total_hash[a]) * down[a]) ^ (nwin.astype(np.uint64) * M1)))
     piece = np.searchsorted(ends, a, side="right")
-    return piece, a - (ends - lens)[piece], nwin, grams[at[s]], whole, at[s] - a
+    return piece, a - (ends - lens)[piece], nwin, grams[at[s]], *wholes
 
 
 def pack(cols: list[np.ndarray], z: zstandard.ZstdCompressor) -> bytes:
@@ -131,7 +131,7 @@ def unpack(blob: bytes, kinds: list[str], z: zstandard.ZstdDecompressor) -> list
     return out
 
 
-LEAD, REST = ["i8", "u4", "u4", "u8", "u8", "u1"], ["i8", "u4", "u4"]
+LEAD, REST = ["i8", "u4", "u4", "u8", "u8", "u8", "u1"], ["i8", "u4", "u4", "u8"]
 
 
 def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array], Iterator[np.ndarray]], once: bool):
@@ -143,12 +143,12 @@ def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array]
 
         def flush():
             nonlocal turn
-            doc, start, nwin, key, whole = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((start, doc, whole, key))
-            doc, start, nwin, key, whole = (c[order] for c in (doc, start, nwin, key, whole))
+            doc, start, nwin, key, whole, other = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((start, doc, other, whole, key))
+            doc, start, nwin, key, whole, other = (c[order] for c in (doc, start, nwin, key, whole, other))
             lead = np.empty(len(key), bool)
             lead[0] = True
-            lead[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+            lead[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])
             at = np.flatnonzero(lead)
             many = np.diff(np.append(at, len(key))) > 1
             rest = ~lead
@@ -162,11 +162,11 @@ def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array]
                 if (rows := at[by[cuts[i] : cuts[i + 1]]]).size:
                     b.append(i)
                     kinds.append(0)
-                    blobs.append(pack([doc[rows], start[rows].astype("u4"), nwin[rows].astype("u4"), key[rows], whole[rows], many[by[cuts[i] : cuts[i + 1]]].astype("u1")], z))
+                    blobs.append(pack([doc[rows], start[rows].astype("u4"), nwin[rows].astype("u4"), key[rows], whole[rows], other[rows], many[by[cuts[i] : cuts[i + 1]]].astype("u1")], z))
             if rest.any():
                 b.append(turn % buckets)
                 kinds.append(1)
-                blobs.append(pack([doc[rest], start[rest].astype("u4"), nwin[rest].astype("u4")], z))
+                blobs.append(pack([doc[rest], start[rest].astype("u4"), nwin[rest].astype("u4"), key[rest]], z))
                 turn += 7
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "payload"])
@@ -174,9 +174,9 @@ def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array]
         def hashed(syms, docs, bases):
             nonlocal n_held
             lens = np.array([len(s) for s in syms], np.int64)
-            piece, start, nwin, key, whole, _ = runs_of(np.concatenate(syms), lens, width, k)
+            piece, start, nwin, key, whole, other = runs_of(np.concatenate(syms), lens, width, k)
             if piece.size:
-                held.append((np.array(docs, np.int64)[piece], start + np.array(bases, np.int64)[piece], nwin, key, whole))
+                held.append((np.array(docs, np.int64)[piece], start + np.array(bases, np.int64)[piece], nwin, key, whole, other))
                 n_held += piece.size
 
         for batch in batches:
@@ -205,8 +205,11 @@ def record_blocks(width: int, k: int, buckets: int, symbols: Callable[[pa.Array]
     return run
 
 
-def judge_blocks(once: bool, hot: int):
-    """A mapInArrow function from the blocks of one bucket to runs that repeat or need a comparison."""
+def judge_blocks(once: bool, hot: int, settle: bool = True):
+    """A mapInArrow function from the blocks of one bucket to runs that repeat or need a comparison.
+
+    settle: equal runs are REPEATED by their hashes. Otherwise every place of a run whose minimiser isn't unique is to COMPARE.
+    """
 
     def out(doc, start, nwin, key, role):
         return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(nwin.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(role.astype(np.int32))], ["doc_id", "start", "nwin", "key", "role"])
@@ -216,23 +219,27 @@ def judge_blocks(once: bool, hot: int):
         for batch in batches:
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if kind:
-                    doc, start, nwin = unpack(blob.as_py(), REST, z)
-                    yield out(doc, start, nwin, np.zeros(len(doc), np.uint64), np.zeros(len(doc)))
+                    doc, start, nwin, key = unpack(blob.as_py(), REST, z)
+                    yield out(doc, start, nwin, key, np.full(len(doc), REPEATED if settle else COMPARE))
                 else:
                     leads.append(unpack(blob.as_py(), LEAD, z))
         if not leads:
             return
         cols = [np.concatenate(c) for c in zip(*leads)]
         leads.clear()
-        order = np.lexsort((cols[1], cols[0], cols[4], cols[3]))
-        doc, start, nwin, key, whole, many = (c[order] for c in cols)
+        order = np.lexsort((cols[1], cols[0], cols[5], cols[4], cols[3]))
+        doc, start, nwin, key, whole, other, many = (c[order] for c in cols)
         n = len(key)
         new_key, new_run = np.ones(n, bool), np.ones(n, bool)
         new_key[1:] = key[1:] != key[:-1]
-        new_run[1:] = new_key[1:] | (whole[1:] != whole[:-1])
+        new_run[1:] = new_key[1:] | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])
         run_id, key_id = np.cumsum(new_run) - 1, np.cumsum(new_key) - 1
         size = np.bincount(run_id, weights=1 + many)  # a run that was merged before it was sent counts as two at least
         different = np.bincount(key_id[new_run])
+        if not settle:
+            shared = (different[key_id] > 1) | (size[run_id] > 1)
+            yield out(doc[shared], start[shared], nwin[shared], key[shared], np.full(int(shared.sum()), COMPARE))
+            return
         if once:
             repeated = ~new_run
             repeated[1:] &= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
@@ -245,6 +252,12 @@ def judge_blocks(once: bool, hot: int):
     return run
 
 
+def shared_runs(rows: DataFrame, width: int, k: int, symbols, buckets: int, name: str) -> DataFrame:
+    """A written table of RUN rows: every place of every run whose minimiser isn't unique."""
+    blocks = rows.mapInArrow(record_blocks(width, k, buckets, symbols, False), BLOCK)
+    return written(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(judge_blocks(False, 0, settle=False), RUN), name)
+
+
 def judged_runs(docs: DataFrame, width: int, k: int, symbols, once: bool, hot: int, buckets: int, name: str) -> DataFrame:
     """A written table of RUN rows: runs known to be repeated, and one place of each run that must be compared with others.
 

@@ -13,9 +13,9 @@ SCHEMA = "doc_id long, text string, kept string"
 
 def brute_words(rows, width):
     split = [(d, t.encode().split() if t is not None else []) for d, t in rows]
-    seen = Counter(tuple(w[i : i + width]) for d, w in split if d is not None for i in range(len(w) - width + 1))
+    seen = Counter(tuple(w[i : i + width]) for d, w in split for i in range(len(w) - width + 1))
     for d, w in split:
-        drop = {j for i in range(len(w) - width + 1) if d is not None and seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        drop = {j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
         yield d, b" ".join(x for j, x in enumerate(w) if j not in drop).decode(), len(w), len(drop)
 
 
@@ -95,3 +95,37 @@ def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert Counter(tuple(x) for x in dedup_substrings(df).collect()) == Counter(brute_words(rows, 35))
     assert Counter((d, bytes(k), *n) for d, k, *n in dedup_suffixes(df).collect()) == Counter(brute_bytes(rows, 100))
+
+
+def test_words_of_equal_run_hashes_are_told_apart(spark, monkeypatch):
+    """All runs of one minimiser have one hash here, as if every pair collided; it decides nothing."""
+    from siftflow.llm import anchors
+
+    plain = anchors.runs_of
+
+    def colliding(*a):
+        piece, start, nwin, key, whole, other = plain(*a)
+        return piece, start, nwin, key, whole * 0, other * 0
+
+    rows = made(4)
+    df = spark.createDataFrame([(d, t, "other") for d, t in rows], SCHEMA).repartition(3)
+    monkeypatch.setattr(anchors, "runs_of", colliding)
+    got = [tuple(x) for x in dedup_substrings(df, width=8, gram=3).collect()]
+    assert Counter(got) == Counter(brute_words(rows, 8))
+
+
+def test_bytes_of_runs_with_one_equal_hash_are_told_apart(spark, monkeypatch):
+    """The first hash of all runs of one minimiser is the same here; the second tells them apart."""
+    from siftflow.llm import anchors
+
+    plain = anchors.runs_of
+
+    def colliding(*a):
+        piece, start, nwin, key, whole, other = plain(*a)
+        return piece, start, nwin, key, whole * 0, other
+
+    rows = made(5)
+    df = spark.createDataFrame([(d, t, "other") for d, t in rows], SCHEMA).repartition(3)
+    monkeypatch.setattr(anchors, "runs_of", colliding)
+    got = [(d, bytes(k), *n) for d, k, *n in dedup_suffixes(df, width=20, gram=6).collect()]
+    assert Counter(got) == Counter(brute_bytes(rows, 20))
