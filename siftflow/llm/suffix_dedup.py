@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftflow.llm.anchors import HOT, LOW, REPEATED, gram_hashes, judged_runs, merged_spans, mixed
-from siftflow.llm.common import bucket_count, written
+from siftflow.llm.common import bucket_count, parted, written
 
 #: Bytes of a window, of the k-gram that is hashed for minimisers, and different runs of one minimiser from which on their windows travel singly.
 WIDTH, GRAM, HOT_RUNS = 100, 24, 50_000
@@ -161,9 +161,9 @@ def later_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = judged_runs(docs, width, gram, byte_symbols, True, hot_runs, n, "strings")
     whole = runs.where(F.col("role") == REPEATED).select("doc_id", "start", (F.col("start") + F.col("nwin") + width - 1).cast("int").alias("stop"))
-    asked = runs.where(F.col("role") != REPEATED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", "key", "role")).alias("runs"))
+    asked = written(runs.where(F.col("role") != REPEATED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "nwin", "key", "role")).alias("runs")), "asked")
     # written, as sampling the splitters reads them once and sorting once more
-    suffixes = written(docs.join(asked.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_suffixes(width, gram), SUFFIX), "suffixes")
+    suffixes = written(parted(docs, asked, "doc_id")[0].join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(_suffixes(width, gram), SUFFIX), "suffixes")
     cold = suffixes.where(~F.col("hot")).drop("hot").repartitionByRange(n, "lead").sortWithinPartitions("lead")
     found = whole.unionByName(cold.mapInArrow(_bucket(width, gram), SPAN))
     if runs.where(F.col("role") == HOT).limit(1).count():
@@ -198,5 +198,7 @@ def _cut():
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: doc_id, kept (the remaining bytes; a cut may split a character), n_bytes, n_removed, n_spans."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = later_spans(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return texts.join(spans.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    spans = written(later_spans(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "spans")
+    some, others = parted(texts, spans, "doc_id")
+    joined = some.join(spans.hint("shuffle_hash"), "doc_id", "left").unionByName(others, allowMissingColumns=True)
+    return joined.select("doc_id", "text", "starts", "stops").mapInArrow(_cut(), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
