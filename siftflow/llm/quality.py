@@ -9,7 +9,7 @@ with their labels, weighted by similarity.
 
 FIT_ROWS bounds what is fitted and broadcast: the labelled rows of smallest hash, at most half of it from either label.
 Everything else covers all documents. A null text counts as an empty one, whose vector is zero; its score is the share of label
-1 among the labelled rows fitted on. Null ids are scored, never fitted on. Repeated ids are scored each for themselves; a label
+1 among the labelled rows fitted on. Null ids are scored, never fitted on. Repeated ids are scored each for themselves, and of their texts the smallest is fitted on; a label
 repeated for an id counts once, the larger if they differ. Null labels are ignored. Without any label every score is 0.5.
 Columns other than id and text are never read.
 """
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             counts = [term_counts(t.as_py() if t.is_valid else b"").astype(np.float32).tobytes() for t in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), batch.column(1)], ["counts", "label"])
 
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = held.select("text", F.col("label").cast("int")).mapInArrow(run, "counts binary, label int").collect()
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
