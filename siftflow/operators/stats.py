@@ -356,6 +356,21 @@ def stats(p: ir.Stats, fr: LogFrame, step_s: float | None = None) -> LogFrame:
     return fr.with_df(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c(f.result) for f in p.funcs]))
 
 
+def unrolled(p: ir.Stats, u: ir.Unroll, fr: LogFrame) -> LogFrame | None:
+    """What unroll makes of the only function's values per group, row by row, so that no group is gathered; None where it isn't just that.
+
+    A group has a row here if it has a value. Without keys, or with an if, one without values would be a row too.
+    """
+    f = p.funcs[0]
+    ifs = [x for x in (f.iff, u.iff) if x is not None and not isinstance(x, ir.Noop)]
+    if len(p.funcs) > 1 or f.kind != "values" or f.limit or ifs or not p.by or u.of != (f.result,) or f.result in [k.field for k in p.by]:
+        return None
+    each = [fr.text(n) for n in _typed(f, fr)]
+    if not each:
+        return None
+    return fr.with_df(fr.df.select(*[bucketed(k, fr).alias(k.field) for k in p.by], (each[0] if len(each) == 1 else F.explode(F.array(*each))).alias(f.result)))
+
+
 def bucket_seconds(bucket: str) -> float | None:
     if bucket in STEPS:
         return STEPS[bucket] / 1e6

@@ -337,10 +337,9 @@ def unroll(p: ir.Unroll, fr: LogFrame) -> LogFrame:
     lists = [F.coalesce(items(f), F.array().cast("array<string>")) for f in p.of]
     if p.iff is not None:
         lists = [F.when(condition(p.iff, fr), x).otherwise(F.array(fr.text(f))) for f, x in zip(p.of, lists)]
-    names = {f: f"f{i}" for i, f in enumerate(p.of)}
-    structs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), *[F.size(x) for x in lists]) - 1), lambda i: F.struct(*[F.get(x, i).alias(names[f]) for f, x in zip(p.of, lists)]))
-    out = fr.df.withColumn("__u", F.explode(structs)).withColumns({f: F.coalesce(F.col(f"__u.{n}"), F.lit("")) for f, n in names.items()}).drop("__u")
-    return fr.with_df(out)
+    # zipped at once: a lambda over positions would read each array's text anew for every item
+    out = fr.df.withColumn("__u", F.explode_outer(F.arrays_zip(*lists)))
+    return fr.with_df(out.withColumns({f: F.coalesce(F.col("__u").getField(str(i)), F.lit("")) for i, f in enumerate(p.of)}).drop("__u"))
 
 
 def sample(p: ir.Sample, fr: LogFrame) -> LogFrame:

@@ -58,9 +58,15 @@ class Compiler:
         return self.pipes(self.where(q.filter, fr), pipes, step)
 
     def pipes(self, fr: LogFrame, pipes: list[ir.Pipe], step: float | None) -> LogFrame:
-        for p in pipes:
+        done = False
+        for p, after in zip(pipes, [*pipes[1:], None]):
+            if done:  # with the pipe before
+                done = False
+                continue
             p = self.flagged_ifs(p)
-            if isinstance(p, ir.Where):
+            if isinstance(p, ir.Stats) and isinstance(after, ir.Unroll) and (each := stats.unrolled(p, after, fr)):
+                fr, done = each, True
+            elif isinstance(p, ir.Where):
                 fr = self.where(p.filter, fr)
             elif isinstance(p, ir.Stats):
                 fr = stats.stats(p, fr, step)

@@ -356,6 +356,30 @@ def test_plans(spark):
     assert p.count("Scan parquet") == 1
 
 
+TOLD = ["1", "a\"b\\c/d", "é\n\t", "", None, "[1]", "null", "<&>\u2028", "{}"]
+
+
+@pytest.mark.parametrize("call", ["values(a)", "values(a, b)", "values(*)"])
+def test_unrolled_values_are_not_gathered(spark, call):
+    """Row by row what the array of a group's values gives, which is still made beside another function."""
+    e = log(spark, [{"g": g, "a": a, "b": b} for g in ("x", "y", None) for a, b in zip(TOLD, reversed(TOLD))])
+    query = f"* | stats by (g) {call} v | unroll by (v)"
+    plan = e.query(query)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Exchange hashpartitioning" not in plan
+    assert run(e, query) == run(e, f"* | stats by (g) {call} v, count() n | unroll by (v) | delete n")
+    # where more than the rows of values is asked for, groups are gathered as before
+    assert run(e, "* | stats by (g) values(a) if (a:none) v | unroll by (v)") == want({"g": "x"}, {"g": "y"}, {})
+    assert run(e, "z:none | stats values(a) v | unroll by (v)") == [{}]
+    assert len(run(e, "* | stats by (g) values(a) v, count() n | unroll by (v)")) == 27
+
+
+def test_unroll_reads_an_array_once(spark):
+    e = log(spark, [{"a": json.dumps([str(i) for i in range(50_000)]), "b": "[1]"}])
+    df = e.query("* | unroll by (a, b)")
+    assert "sequence(" not in df._jdf.queryExecution().executedPlan().toString()  # no lambda that reads the text for each position
+    assert df.agg(F.count("*"), F.sum(F.col("a").cast("long")), F.sum(F.col("b").try_cast("long"))).first() == (50_000, 50_000 * 49_999 // 2, 1)
+
+
 def test_entry_and_catalog(spark):
     import __spark_entry__ as entry
 
