@@ -363,9 +363,9 @@ def unrolled(p: ir.Stats, u: ir.Unroll, fr: LogFrame) -> LogFrame | None:
     """
     f = p.funcs[0]
     ifs = [x for x in (f.iff, u.iff) if x is not None and not isinstance(x, ir.Noop)]
-    if len(p.funcs) > 1 or f.kind != "values" or f.limit or ifs or not p.by or u.of != (f.result,) or f.result in [k.field for k in p.by]:
+    if len(p.funcs) > 1 or f.kind not in ("values", "json_values") or f.limit or ifs or not p.by or u.of != (f.result,) or f.result in [k.field for k in p.by]:
         return None
-    each = [fr.text(n) for n in _typed(f, fr)]
+    each = [fr.row_json(f.args)] if f.kind == "json_values" else [fr.text(n) for n in _typed(f, fr)]
     if not each:
         return None
     return fr.with_df(fr.df.select(*[bucketed(k, fr).alias(k.field) for k in p.by], (each[0] if len(each) == 1 else F.explode(F.array(*each))).alias(f.result)))

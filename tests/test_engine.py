@@ -359,7 +359,7 @@ def test_plans(spark):
 TOLD = ["1", "a\"b\\c/d", "é\n\t", "", None, "[1]", "null", "<&>\u2028", "{}"]
 
 
-@pytest.mark.parametrize("call", ["values(a)", "values(a, b)", "values(*)"])
+@pytest.mark.parametrize("call", ["values(a)", "values(a, b)", "values(*)", "json_values(a, b)", "json_values(*)", "json_values(none)"])
 def test_unrolled_values_are_not_gathered(spark, call):
     """Row by row what the array of a group's values gives, which is still made beside another function."""
     e = log(spark, [{"g": g, "a": a, "b": b} for g in ("x", "y", None) for a, b in zip(TOLD, reversed(TOLD))])
