@@ -218,12 +218,31 @@ def row_any(f, fr, only) -> Column:
     return F.coalesce(F.first(only(fr.row_json(f.args)), ignorenulls=True), F.lit("{}"))
 
 
+def _descending(x: Column, t: T.DataType) -> Column | None:
+    """Orders by min as the order key x of type t does by max; None for types that have no such key."""
+    if isinstance(t, values.INTEGRAL):
+        return F.bitwise_not(x)  # -x could overflow
+    if isinstance(t, T.BooleanType):
+        return ~x
+    if values.is_time(t):
+        return -F.unix_micros(x.cast("timestamp"))
+    if isinstance(t, (T.StringType, T.NullType)):
+        # inverted digits, and a mark above all digits at the end, so that a prefix comes after what it begins
+        s = F.concat(F.translate(F.hex(x["s"]), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+        return F.struct((-x["class"]).alias("class"), (-x["n"]).alias("n"), s.alias("s"))
+    if isinstance(t, (T.FloatType, T.DoubleType)):  # NaN is the largest
+        return F.struct((~F.isnan(x)).alias("number"), (-x).alias("n"))
+    return -x if isinstance(t, T.DecimalType) else None
+
+
 def _row_extreme(f, fr, only, low: bool) -> Column:
     key, out = f.args[0], f.args[1:] or (ir.ALL,)
     k = only(F.when(fr.filled(key), fr.order(key)))
-    # of rows with equal keys the smallest text, so that the result doesn't depend on their order
-    row = fr.row_json(out)
-    return F.coalesce((F.min if low else F.max)(F.when(k.isNotNull(), F.struct(k.alias("k"), row.alias("r"))))["r"], F.lit("{}"))
+    # of rows with equal keys the one with the smallest values, field by field, so that the result doesn't depend on their order
+    ties = [fr.col(n) if values.is_numeric(fr.type(n)) or values.is_time(fr.type(n)) else fr.text(n) for n in fr.expand(out)]
+    by = k if low else _descending(k, fr.type(key))
+    best = F.struct((k if by is None else by).alias("k"), *[x.alias(f"t{i}") for i, x in enumerate(ties)], fr.row_json(out).alias("r"))
+    return F.coalesce((F.max if by is None else F.min)(F.when(k.isNotNull(), best))["r"], F.lit("{}"))
 
 
 def sum_len(f, fr, only) -> Column:

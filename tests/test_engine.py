@@ -408,6 +408,23 @@ def test_histogram_bounds_of_zeros_as_in_sql(spark, tmp_path):
     assert run(log(spark, [{"a": "0"}, {"a": "0"}]), "* | stats histogram(a) h") == [{"h": '[{"vmrange":"0...1.000e-09","hits":2}]'}]
 
 
+def test_rows_of_ties_as_in_sql(spark, tmp_path):
+    """Of rows with the same extreme value the first one counts: 9 comes before 10, and before 109."""
+    same_as_sql(spark, tmp_path, "stats_rows", made_events([("ab"[i % 2], (0.0, 5.0, None, 7.5)[i // 9 % 4]) for i in range(9, 150)]))
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string", "boolean", "timestamp", "date", "decimal(9,2)"])
+def test_row_extremes_of_every_type(spark, kind):
+    texts = {"boolean": ["true", "false"], "timestamp": ["2024-01-01 00:00:00", "1969-12-31 23:59:59.5"], "date": ["2024-01-01", "1950-01-01"], "string": ["a", "ab", "a10", "a9", "1KB", "7", "-3", "é", "\U0001f600", "z"]}.get(kind, ["-5", "0", "3", "10"])
+    texts += {"long": [str(2**63 - 1), str(-(2**63))], "double": ["inf", "-inf", "NaN", "-0.0", "1e-5"]}.get(kind, [])
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(texts * 6)] + [(None, -1)], "x string, i long").selectExpr(f"CAST(x AS {kind}) AS x", "i")
+    fr = LogFrame.of(df.repartition(3))
+    r = Engine(fr, NOW).query("* | stats row_min(x, i) lo, row_max(x, i) hi").first()
+    rows = df.select(fr.order("x").alias("k"), "i").where("x IS NOT NULL")
+    lowest, highest = (rows.where(F.col("k") == rows.agg(f("k")).first()[0]).agg(F.min("i")).first()[0] if kind != "string" else rows.orderBy(F.col("k").asc() if f is F.min else F.col("k").desc(), "i").first().i for f in (F.min, F.max))
+    assert (json.loads(r.lo), json.loads(r.hi)) == ({"i": str(lowest)}, {"i": str(highest)})
+
+
 def test_entry_and_catalog(spark):
     import __spark_entry__ as entry
 
