@@ -203,6 +203,45 @@ def test_replicate(spark, tmp_path):
     assert [spark.read.parquet(o).count() for o in outs] == [1, 1]
 
 
+def test_bodies_go_back_in_small_batches():
+    """A batch of many bodies of many rows never is in Python as a whole."""
+    import pyarrow as pa
+
+    from siftflow.functions import udfs
+
+    class Frame:
+        @staticmethod
+        def mapInArrow(run, schema):
+            return run
+
+    held, most = 0, 0
+
+    class Row(dict):
+        def __init__(self, n):
+            nonlocal held, most
+            super().__init__(a=str(n), b="x")
+            held += 1
+            most = max(most, held)
+
+        def __del__(self):
+            nonlocal held
+            held -= 1
+
+    bodies = lambda n, fn: udfs.read(Frame, fn)(iter([pa.RecordBatch.from_pydict({"value": pa.array([str(i) for i in range(n)] + [None])})]))
+    found = list(bodies(500, lambda x: [Row(int(x) * 100 + i) for i in range(100)] if x != "7" else [None]))
+    maps = [m for b in found for m in b.column(0).to_pylist()]
+    assert [m and dict(m) for m in maps] == [m for i in range(500) for m in ([{"a": str(i * 100 + j), "b": "x"} for j in range(100)] if i != 7 else [None])]
+    assert max(b.num_rows for b in found) == udfs.AT_ONCE and most <= 200
+    assert [b.column(0).to_pylist() for b in bodies(2, lambda x: [{}] if x == "0" else [])] == [[[]]]
+
+
+@pytest.mark.parametrize("make", [formats.journald])
+def test_readers_of_bodies_hold_no_arrays_of_rows(spark, make):
+    kind = "binary" if make in (formats.loki_protobuf, formats.otel_protobuf, formats.journald) else "string"
+    plan = make(spark.range(1).selectExpr(f"CAST('x' AS {kind}) AS value"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan.lower() and "ArrowEvalPython" not in plan
+
+
 @pytest.mark.parametrize("name", ["source_json_lines", "source_loki_protobuf", "source_otel_protobuf", "source_journald", "store_compaction", "stream_tail_resumed", "stream_sessions", "stream_windows"])
 def test_registered_queries(spark, name):
     import duckdb
